@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from wayloom.llm import textvec as tv
-from wayloom.llm.components import connected_components
+from wayloom.llm.components import bucket_components, connected_components
 from wayloom.llm.scratch import Scratch
 from wayloom.llm.signatures import band_keys, one_permutation
 
@@ -166,8 +166,8 @@ def near_duplicates(
     1. Each text gives its shingle set's size, a 128 bit fingerprint and its
        band keys (one permutation, optimal densification).
     2. Equal sets collapse to one representative, the smallest id.
-    3. In every bucket all members get one edge to the smallest, a star; the
-       stars' components are candidate groups.
+    3. In every bucket all members hang on the smallest, a star with an edge a
+       member; the stars' components are candidate groups.
     4. Groups are cut into blocks of ``block_docs``; every pair of blocks is
        compared exactly on whole sets in one bounded unit of work and gives a
        spanning forest of the true links, never all pairs.  So links between
@@ -185,15 +185,16 @@ def near_duplicates(
     signed = scratch.save(text.mapInArrow(_sign(k, bins, rows), "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>"), "signed")
     live = signed.where("n_shingles > 0 and doc_id is not null")
     classes = scratch.save(live.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = live.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", F.explode("bands").alias("key"))
-    centre = reps.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z")
-    stars = reps.join(centre.select("key", "a"), "key").where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
-    groups = connected_components(stars, scratch)
+    reps = live.join(classes.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id", "left_semi").select("doc_id", F.explode("bands").alias("key"))
+    bucket = reps.groupBy("key").agg(F.min("doc_id").alias("a"), F.count("*").alias("n"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("sum")).where("n > 1")
+    bucket = bucket.groupBy("a", "n", "sum").agg(F.min("key").alias("key"))  # buckets of other bands with the same members say nothing new
+    member = scratch.save(reps.join(bucket.select("key").hint("merge"), "key").select("key", F.col("doc_id").alias("node")), "buckets")
+    groups = bucket_components(member, scratch)
     size = groups.groupBy("component").agg(F.ceil(F.count("*") / block_docs).cast("int").alias("blocks"))
     placed = groups.join(size, "component").select(
         F.col("node").alias("doc_id"), F.col("component").alias("grp"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
     units = (
-        text.join(placed, "doc_id").select("grp", "blocks", "block", "doc_id", "text")
+        text.join(placed.hint("merge"), "doc_id").select("grp", "blocks", "block", "doc_id", "text")
         .mapInArrow(_set_rows(k), "grp long, low int, high int, doc_id long, shingles binary")
         .repartition("grp", "low", "high").sortWithinPartitions("grp", "low", "high", "doc_id")
     )
@@ -201,6 +202,6 @@ def near_duplicates(
     found = connected_components(links, scratch)
     named = scratch.save(
         classes.join(found, F.col("rep") == F.col("node"), "left").select("f1", "f2", "n_shingles", F.coalesce("component", "rep").alias("component_id")), "named")
-    member = signed.select("doc_id", "n_shingles", "f1", "f2").join(named, ["f1", "f2", "n_shingles"], "left")
+    member = signed.select("doc_id", "n_shingles", "f1", "f2").join(named.hint("merge"), ["f1", "f2", "n_shingles"], "left")
     return member.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

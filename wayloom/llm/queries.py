@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from wayloom.llm import curriculum, quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -24,8 +26,34 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op3_quality_rules", quality_rules.ORACLE)
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = quality_rules.verdict(quality_rules.ledger(_table(spark, sf_dir, "documents")))
+    return table.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits", "policy")
+
+
+@query("op8_mix_sources", curriculum.ORACLE)
+def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = curriculum.mix(_table(spark, sf_dir, "documents"))
+    return curriculum.training_order(mixed).select("doc_id", "size", "source", "source_size", "target", "taken", F.round("position", 6).alias("position"))
+
+
 @query("op5_near_dedup")
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wayloom.llm.near_dedup import near_duplicates
 
     return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+@query("op7_decontaminate")
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wayloom.llm.decontaminate import leaks
+
+    return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).withColumns({"lcs_share": F.round("lcs_share", 6), "answer_share": F.round("answer_share", 6)})
+
+
+@query("op10_secret_scan")
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wayloom.llm import secrets
+
+    return secrets.digest(secrets.scan(_table(spark, sf_dir, "documents")))
