@@ -57,3 +57,54 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wayloom.llm import secrets
 
     return secrets.digest(secrets.scan(_table(spark, sf_dir, "documents")))
+
+
+def _remainder(modulus: int):
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus))
+
+
+@query("op2_language_id")
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wayloom.llm import language_id
+
+    docs = _table(spark, sf_dir, "documents")
+    held = F.coalesce(_remainder(4) == 2, F.lit(False))
+    model = language_id.train(docs.where(~held))
+    return language_id.identify(docs, model).withColumn("held_out", held).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query("op4_pitman_yor")
+def op4_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wayloom.llm import pitman_yor
+
+    docs = _table(spark, sf_dir, "documents")
+    held = F.coalesce(_remainder(5) == 1, F.lit(False))
+    scored = pitman_yor.score(docs, docs.where(~held))
+    return scored.withColumn("held_out", held).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op1_warc_roundtrip", """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to, true AS intact FROM f""")
+def op1_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wayloom.llm import warc
+
+    _, whole = warc.archive_pages(_table(spark, sf_dir, "pages"))
+    return whole.select(
+        warc.page_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), warc.page_of(F.col("refers_to")).alias("refers_to"), "intact")
+
+
+@query("op6_html_consensus")
+def op6_html_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wayloom.llm import html_consensus
+
+    return html_consensus.main_text(_table(spark, sf_dir, "pages"))
+
+
+@query("op9_token_counts")
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wayloom.llm import token_counts
+
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"))

@@ -32,12 +32,15 @@ class Rule:
     least_tail: int = 1
     least_all: int = 0
     ignore_case: bool = False
+    counted: int = 64
 
     @property
     def need(self) -> int:
-        """Tail bytes that a passing match has at least (heads of fixed length set least_all)."""
+        """Tail bytes that the combined automaton counts: all that a passing match
+        has at least, or ``counted`` if that is less (then it flags some stretches
+        too many, which the exact spans put right)."""
         fixed = len(self.head) if self.head.isalnum() else 0
-        return max(self.least_tail, self.least_all - fixed)
+        return min(self.counted, max(self.least_tail, self.least_all - fixed))
 
 
 BASE = (
@@ -47,10 +50,10 @@ BASE = (
 )
 #: What the method adds to the base kinds.
 ADDED = (
-    Rule("code_host", "gh[opsu]_", "[A-Za-z0-9]", 36),
-    Rule("chat", "xox[abps]\\-", r"[A-Za-z0-9\-]", 10),
-    Rule("cloud", "AIza", r"[A-Za-z0-9_\-]", 1, 39),
-    Rule("key_block", r"\-\-\-\-\-BEGIN ([A-Z]+ )*PRIVATE KEY", r"\-", 5),
+    Rule("code_host", "gh[opsu]_", "[A-Za-z0-9]", 36, counted=2),
+    Rule("chat", "xox[abps]\\-", r"[A-Za-z0-9\-]", 10, counted=2),
+    Rule("cloud", "AIza", r"[A-Za-z0-9_\-]", 1, 39, counted=2),
+    Rule("key_block", r"\-\-\-\-\-BEGIN ([A-Z]+ )*PRIVATE KEY", r"\-", 5, counted=2),
 )
 RULES = BASE + ADDED
 KINDS = tuple(r.kind for r in RULES)
