@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
+MODULES = ("scalar_queries", "relational_queries", "graph_queries", "planner_queries")
 
 
 def register(name: str, sql: str | None = None):
@@ -17,9 +20,16 @@ def register(name: str, sql: str | None = None):
     return add
 
 
+def _load() -> None:
+    for m in MODULES:
+        import_module(f"wayloom.plans.{m}")
+
+
 def queries() -> dict:
+    _load()
     return _QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return _SQL
