@@ -76,5 +76,5 @@ def tiles_of_bbox(spark: SparkSession, bbox: tuple[float, float, float, float],
 
 def dem_tiles_of_bbox(spark: SparkSession, bbox: tuple[float, float, float, float]) -> DataFrame:
     lat = spark.range(int(np.floor(bbox[0])), int(np.floor(bbox[2])) + 1).select(F.col("id").cast("double").alias("lat"))
-    cells = lat.withColumn("lon", F.explode(F.sequence(F.lit(int(np.floor(bbox[1]))), F.lit(int(np.floor(bbox[3]))))).cast("double"))
+    cells = lat.withColumn("lon", F.explode(F.transform(F.sequence(F.lit(int(np.floor(bbox[1]))), F.lit(int(np.floor(bbox[3])))), lambda x: x.cast("double"))))
     return cells.select(geo.dem_stem(F.col("lat"), F.col("lon")).alias("tile")).distinct()
