@@ -69,6 +69,17 @@ def _passages(offs: np.ndarray, size: int) -> np.ndarray:
     return np.concatenate([offs[:-1][doc] + inner * size, offs[-1:]])
 
 
+def _sum_runs(table: np.ndarray, rows: np.ndarray, cut: np.ndarray, size: np.ndarray, short: int) -> np.ndarray:
+    """Sums of table[rows] over the runs that start at ``cut``; runs up to ``short`` long are summed step by step together."""
+    out = np.zeros((len(cut), table.shape[1]), np.float32)
+    for j in range(min(short, int(size.max(initial=0)))):
+        on = np.flatnonzero((size > j) & (size <= short))
+        out[on] += table[rows[cut[on] + j]]
+    for i in np.flatnonzero(size > short).tolist():
+        out[i] = table[rows[cut[i] : cut[i] + size[i]]].sum(axis=0)
+    return out
+
+
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     df, passages = np.zeros(VOCAB, np.int64), 0
     for batch in batches:
@@ -89,7 +100,7 @@ def _project(test: np.ndarray, idf: np.ndarray, blocks: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scaled, out = (test * idf[:, None]).astype(np.float32), np.zeros_like(test, dtype=np.float32)
         for batch in batches:
-            for _, _, f, offs in _sequences(batch.column(0), 1 << 17):
+            for _, _, f, offs in _sequences(batch.column(0), 1 << 19):
                 if not len(f):
                     continue
                 starts = _passages(offs, PASSAGE)
@@ -99,11 +110,11 @@ def _project(test: np.ndarray, idf: np.ndarray, blocks: int):
                 passage, g = key // VOCAB, (key % VOCAB).astype(np.uint16)
                 cut = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]]))
                 norm = np.add.reduceat(idf[g] ** 2, cut)
-                rows = (np.add.reduceat(scaled[g], cut, axis=0) / norm[:, None]).astype(np.float32)  # rows of A have length 1
+                rows = _sum_runs(scaled, g, cut, np.diff(np.append(cut, len(g))), PASSAGE) / norm[:, None].astype(np.float32)  # rows of A have length 1
                 order = np.argsort(g, kind="stable")
                 g, passage = g[order], passage[order]
                 cut = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-                out[g[cut]] += np.add.reduceat(rows[passage], cut, axis=0)
+                out[g[cut]] += _sum_runs(rows, passage, cut, np.diff(np.append(cut, len(g))), 24)
         out *= idf[:, None]
         parts = np.split(out, blocks)
         yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["block", "part"])
@@ -170,7 +181,8 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def _search(space: np.ndarray, ids: list[int], items: list[np.ndarray], cosine: float):
-    groups = []
+    groups, plain = [], [x.tolist() for x in items]
+    widest = max(map(len, plain), default=0) + STEP
     for w in WINDOWS:
         own = [i for i, x in enumerate(items) if len(x) and (len(x) < 2 * WINDOWS[0]) == (w == WINDOWS[0])]
         if own:
@@ -191,7 +203,7 @@ def _search(space: np.ndarray, ids: list[int], items: list[np.ndarray], cosine:
                 if not len(f):
                     continue
                 starts = _passages(offs, STEP)
-                blocks = np.add.reduceat(space[f], starts[:-1], axis=0)
+                blocks = _sum_runs(space, f, starts[:-1], np.diff(starts), STEP)
                 doc = np.searchsorted(offs, starts[:-1], side="right") - 1
                 for wide, own, target in groups:
                     window = blocks.copy()
@@ -201,14 +213,21 @@ def _search(space: np.ndarray, ids: list[int], items: list[np.ndarray], cosine:
                     close = _unit(window) @ target.T >= cosine
                     best: dict[tuple[int, int], tuple[float, float]] = {}
                     reach: dict[tuple[int, int], int] = {}
+                    seen, near = -1, set()
                     for at, which in zip(*(x.tolist() for x in np.nonzero(close))):
-                        key = (int(doc[at]), int(own[which]))
-                        item = items[key[1]]
-                        slack = len(item) + STEP
-                        lo, hi = int(starts[at]) - slack, int(starts[at]) + wide * STEP + slack
+                        d, i = int(doc[at]), int(own[which])
+                        low, high = int(offs[d]), int(offs[d + 1])
+                        start, end = int(starts[at]), int(starts[at]) + wide * STEP
+                        if at != seen:
+                            seen, near = at, set(f[max(low, start - widest) : min(high, end + widest)].tolist())
+                        # no common subsequence is longer than the item's words that are near at all
+                        if sum(map(near.__contains__, plain[i])) < LCS_SHARE * len(plain[i]):
+                            continue
+                        key = (d, i)
                         if key in best and (best[key][1] >= ANSWER_SHARE or at < reach[key]):
                             continue
-                        share = confirmed(f, item, max(int(offs[key[0]]), lo), min(int(offs[key[0] + 1]), hi))
+                        slack = len(plain[i]) + STEP
+                        share = confirmed(f, items[i], max(low, start - slack), min(high, end + slack))
                         reach[key] = at + 2
                         best[key] = max(best.get(key, share), share)
                     out += [(first + d, ids[i], a, b) for (d, i), (a, b) in best.items() if a >= LCS_SHARE and b >= ANSWER_SHARE]
