@@ -10,8 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from wayloom import plugins
+from wayloom.plans import api
 from wayloom.functions import geo
-from wayloom.operators import planners as P, routing as G, search as S, sequences as Q, spatial as X, stores
+from wayloom.operators import cards, hiking, planners as P, routing as G, search as S, sequences as Q, spatial as X, stores
 from wayloom.sources import osm_pbf, osm_tables, rasters
 from wayloom.streaming import tracks
 
@@ -198,3 +199,47 @@ def test_plugins(spark):
     import time
 
     assert plugins.call(lambda h: time.sleep(1.5), host, 0.1)[0] == "timeout"
+
+
+def test_reduced_rests_run_out(spark):
+    trips = spark.createDataFrame([(1, 7, 50.0, 3500.0, dt.date(2026, 7, 27))], "req_id long, driver long, hours double, km double, start date")
+    none = spark.createDataFrame([], "driver long, day date, hours double")
+    got = [r.rest_kind for r in P.plan_days(trips, none, european=P.Ec561(prefer_reduced=True)).orderBy("day").collect()]
+    assert got == ["daily_reduced"] * 3 + ["daily_regular", "daily_regular", None]
+
+
+def test_debts_are_repaid_oldest_first(spark):
+    reduced = spark.createDataFrame([(1, dt.date(2026, 7, 10)), (1, dt.date(2026, 7, 24))], "driver long, day date")
+    rests = spark.createDataFrame([(1, dt.date(2026, 7, 12), 11.0), (1, dt.date(2026, 7, 14), 30.0)], "driver long, day date, hours double")
+    got = {r.reduced_on: r.repaid_on for r in cards.settle(cards.new_debts(reduced), rests).collect()}
+    assert got == {dt.date(2026, 7, 10): dt.date(2026, 7, 14), dt.date(2026, 7, 24): None}
+
+
+def test_hut_days():
+    probes = [(k / 2, 1 if k < 60 else 2, 20.0 if k < 60 else 36.0, k >= 60, 100.0, False) for k in range(120)]
+    days = hiking.fold_days(60.0, probes, 40.0)
+    assert [(d[2], d[3]) for d in days] == [(36.0, 2), (60.0, None)] and hiking.fold_days(0.0, [], 40.0) == []
+    assert [d[4] for d in hiking.fold_days(90.0, [], 40.0)] == [True, True, False]
+
+
+def test_plan_hikes(spark):
+    coords = spark.createDataFrame([(1, i, 60.0 + i * 0.05, 10.0) for i in range(13)], "req_id long, pos int, lat double, lon double")
+    huts = spark.createDataFrame([(5, 60.3, 10.01, True, False), (6, 60.2, 10.2, False, True)], "hut_id long, lat double, lon double, is_network boolean, rejected boolean")
+    got = api.plan_hikes(coords, huts).orderBy("day").collect()
+    assert got[0].hut_id == 5 and 30 < got[0].end_km < 36 and got[-1].end_km > 66 and not got[0].gap
+
+
+def test_cards_and_polyline(spark):
+    p = spark.createDataFrame([(1, 0, 60.0, 10.0), (1, 1, 60.0, 10.0), (1, 2, 61.0, 10.5)], "req_id long, pos int, lat double, lon double")
+    assert cards.polyline(p, 1).first().polyline == "10.0,60.0;10.5,61.0"
+    iso = spark.range(1).select(*(cards.rules_pack(F.lit(x)).alias(x) for x in ("us", "no", "gb"))).first()
+    assert tuple(iso) == ("fmcsa", "ec561", "unknown")
+
+
+def test_plan_routes(spark):
+    nodes = spark.createDataFrame([(i, 60.0 + i * 0.01, 10.0) for i in range(5)] + [(9, 70.0, 25.0)], "id long, lat double, lon double")
+    edges = spark.createDataFrame([(i, i, i + 1, 1112.0, "primary", 80.0, None) for i in range(4)], "edge_idx long, src long, dst long, length_m double, highway string, maxspeed_kmh double, maxheight_m double").withColumns({"weight": F.col("length_m"), "is_toll": F.lit(False), "is_ferry": F.lit(False)})
+    req = spark.createDataFrame([(1, 60.0, 10.0, 60.04, 10.0), (2, 60.0, 10.0, 61.0, 10.0), (3, 60.04, 10.0, 60.0, 10.0)], "req_id long, a_lat double, a_lon double, b_lat double, b_lon double")
+    got = {r.req_id: r for r in api.plan_routes(req, nodes, edges, maxheight_m=4.0).collect()}
+    assert got[1].status == "ok" and got[1].length_m == 4448.0 and abs(got[1].minutes - 3.336) < 1e-9 and '"day":1' in got[1].cards
+    assert got[2].status == "snap_too_far" and got[3].status == "no_path"
