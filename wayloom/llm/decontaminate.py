@@ -129,34 +129,39 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, part in zip(batch.column(0).to_pylist(), batch.column(1)):
             x = np.frombuffer(part.as_buffer(), np.float32)
             total[block] = total[block] + x if block in total else x.astype(np.float64)
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["block", "part"])
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.astype(np.float32).tobytes() for v in total.values()], pa.binary())], ["block", "part"])
 
 
 def latent_space(encoded: DataFrame, rank: int = RANK, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """(VOCAB, rank) map of a word to the latent space (IDF and 1 / singular value included), and the singular values."""
-    freq = encoded.select("feats").mapInArrow(_frequencies, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n"))
-    counts = {r.feature: r.n for r in freq.collect()}  # VOCAB + 1 rows at most
-    n = counts.pop(-1, 0)
+    freq = encoded.select("feats").mapInArrow(_frequencies, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()  # VOCAB + 1 rows at most
+    feature, count = freq["feature"].to_numpy(), freq["n"].to_numpy()
+    n = int(count[feature < 0].sum())
+    if not n:
+        return np.zeros((VOCAB, rank), np.float32), np.zeros(rank)
     idf = np.zeros(VOCAB)
-    for f, c in counts.items():
-        idf[f] = np.log((1 + n) / (1 + c)) + 0.01
-    test = np.random.default_rng(seed).standard_normal((VOCAB, rank))
+    idf[feature[feature >= 0]] = np.log((1 + n) / (1 + count[feature >= 0])) + 0.01
+    test = np.random.default_rng(seed).standard_normal((VOCAB, rank), dtype=np.float32)
     parts = (
-        encoded.select("feats").mapInArrow(_project(test.astype(np.float32), idf, ROW_BLOCKS), "block int, part binary")
-        .repartition(ROW_BLOCKS, "block").mapInArrow(_add, "block int, part binary").collect()
+        encoded.select("feats").mapInArrow(_project(test, idf, ROW_BLOCKS), "block int, part binary")
+        .repartition(ROW_BLOCKS, "block").mapInArrow(_add, "block int, part binary").toArrow()
     )
-    b = np.zeros((VOCAB, rank))
-    for row in parts:
-        size = VOCAB // ROW_BLOCKS
-        b[row.block * size : (row.block + 1) * size] += np.frombuffer(row.part, np.float64).reshape(size, rank)
-    # Nystrom: with C = A'A and B = C W, C is about B (W'B)^-1 B'
-    shift = np.sqrt(VOCAB) * np.finfo(np.float32).eps * max(np.linalg.norm(b), 1e-30)
-    b += shift * test
-    inner = test.T @ b
+    b = np.zeros((VOCAB, rank), np.float32)
+    size = VOCAB // ROW_BLOCKS
+    for block, part in zip(parts["block"].to_pylist(), parts["part"]):
+        b[block * size : (block + 1) * size] += np.frombuffer(part.as_buffer(), np.float32).reshape(size, rank)
+    del parts
+    # Nystrom: with C = A'A and B = C W, C is about B (W'B)^-1 B'; all but B and W is rank x rank
+    b += np.float32(np.sqrt(VOCAB) * np.finfo(np.float32).eps * max(float(np.linalg.norm(b)), 1e-30)) * test
+    inner = test.T.astype(np.float64) @ b
+    del test
     values, vectors = np.linalg.eigh((inner + inner.T) / 2)
-    root = vectors * (1 / np.sqrt(np.maximum(values, values.max() * 1e-12 + 1e-300)))
-    u, s, _ = np.linalg.svd(b @ root, full_matrices=False)
-    return (u / np.maximum(s, s.max() * 1e-6 + 1e-30) * idf[:, None]).astype(np.float32), s
+    root = vectors / np.sqrt(np.maximum(values, values.max() * 1e-12 + 1e-300))
+    squares, turn = np.linalg.eigh(root.T @ (b.T.astype(np.float64) @ b) @ root)
+    order = np.argsort(-squares)
+    s = np.sqrt(np.maximum(squares[order], 0.0))
+    to_space = root @ turn[:, order] / np.maximum(s, s.max() * 1e-6 + 1e-30) ** 2
+    return (b @ to_space.astype(np.float32)) * idf[:, None].astype(np.float32), s
 
 
 def lcs(a: list[int], b: np.ndarray) -> int:
