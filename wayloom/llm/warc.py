@@ -65,7 +65,7 @@ def payload_of(block: bytes) -> bytes:
 def serialise(headers: dict[str, str], block: bytes) -> bytes:
     head = "".join(f"{k}: {v}\r\n" for k, v in headers.items())
     raw = f"WARC/1.1\r\n{head}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
-    z = zlib.compressobj(1, zlib.DEFLATED, 31)
+    z = zlib.compressobj(6, zlib.DEFLATED, 31)
     return z.compress(raw) + z.flush()
 
 
