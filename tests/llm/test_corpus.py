@@ -299,6 +299,26 @@ def test_leaks(spark, empty):
     assert decontaminate.leaks(empty, bench).count() == 0 and decontaminate.leaks(make(spark, docs[:3]), bench.limit(0)).count() == 0
 
 
+def test_leaks_of_any_length(spark):
+    rng = random.Random(13)
+    docs, items, want = [], [], set()
+    for j, n in enumerate((1, 2, 3, 4, 5, 6, 8, 10, 14, 70, 150, 400)):
+        words = [f"i{j}x{k}" for k in range(n)]
+        items.append((j, " ".join(words)))
+        for kind in (0, 1):  # the item as it is, and with two of five words changed, from the second on
+            copy = [f"c{rng.randrange(10**6)}" if kind and k % 5 in (1, 3) else w for k, w in enumerate(words)]
+            w = prose(rng, 300, 3000).split()
+            docs.append((2 * j + kind, " ".join([*w[:151], *copy, *w[151:]]), "en", "a"))
+            kept = [w == c for w, c in zip(words, copy)]
+            last = kept[-min(8, max(1, n // 3)) :]
+            if 10 * sum(kept) >= 6 * n and 2 * sum(last) >= len(last):
+                want.add((2 * j + kind, j))
+    docs.append((99, prose(rng, 400, 3000), "en", "a"))
+    assert len(want) > 18
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(make(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == want
+
+
 def test_lcs_equals_the_table():
     rng = random.Random(11)
     for _ in range(200):

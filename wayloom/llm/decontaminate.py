@@ -8,8 +8,13 @@
    solves the small problem (VOCAB x RANK, fixed by parameters).  Its
    eigenvectors are A's right singular vectors.
 3. Sliding windows of every document and the benchmark items are compared by
-   cosine in the latent space.  Candidates are confirmed by the longest common
-   subsequence of words with the item, and of its answer part (its last words).
+   cosine in the latent space; long items are compared in parts.
+4. An item of n words of which k = LCS_SHARE n stand in order in a copy has at
+   least 2 k - n - 1 pairs of neighbours both kept, so a copy without insertions
+   holds that many of its word pairs (k of its words, where that bound is 0).
+   Stretches with so many are candidates too, whatever their cosine.
+5. Candidates are confirmed by the longest common subsequence of words with the
+   item, and of its answer part (its last words).
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ from wayloom.llm.scratch import Scratch
 VOCAB, RANK = 1 << 16, 64
 PASSAGE = 64  # words of a passage in the decomposition
 STEP = 8  # words between window starts
-WINDOWS = (16, 32)  # the smaller serves items under twice its length
+WINDOWS = (16, 32)  # the smaller serves items under twice its length; items of twice the larger or more are cut into parts
 COSINE = 0.64
 LCS_SHARE, ANSWER_SHARE, ANSWER_WORDS = 0.6, 0.5, 8
 ITEM_BLOCK = 4096  # benchmark items compared at a time
@@ -181,17 +186,87 @@ def _answer(item: np.ndarray) -> np.ndarray:
     return item[-min(ANSWER_WORDS, max(1, len(item) // 3)) :]
 
 
+def _least(size: int) -> int:
+    """Words of an item that a leak has in order at least."""
+    return int(np.ceil(LCS_SHARE * size - 1e-9))
+
+
+class _Grams:
+    """Word pairs of the items (words, where a leak need not hold a pair), and where texts hold enough of one item's."""
+
+    def __init__(self, items: list[np.ndarray]):
+        self.size = np.array([len(x) for x in items], np.int64)
+        need, keys, own = [], [], []
+        for i, x in enumerate(items):
+            pairs = 2 * _least(len(x)) - len(x) - 1
+            need.append(pairs if pairs > 0 else _least(len(x)))
+            keys.append(self._pairs(x) if pairs > 0 else x.astype(np.int64) + (1 << 32))
+            own.append(np.full(len(keys[-1]), i, np.int64))
+        self.need = np.array(need, np.int64)
+        both = np.concatenate([np.zeros(0, np.int64), *keys]) * max(1, len(items)) + np.concatenate([np.zeros(0, np.int64), *own])
+        both, self.times = np.unique(both, return_counts=True)
+        self.item = both % max(1, len(items))
+        self.keys, first = np.unique(both // max(1, len(items)), return_index=True)
+        self.first = np.append(first, len(both))
+        self.seen = np.zeros(1 << 22, bool)
+        self.seen[self._slot(self.keys)] = True
+        self.words = bool(len(self.keys)) and int(self.keys[-1]) >= 1 << 32
+
+    @staticmethod
+    def _pairs(f: np.ndarray) -> np.ndarray:
+        return f[:-1].astype(np.int64) << 16 | f[1:]
+
+    @staticmethod
+    def _slot(keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)
+
+    def _hits(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(position, number of the key) of the keys that some item has."""
+        at = np.flatnonzero(self.seen[self._slot(keys)])
+        which = np.searchsorted(self.keys, keys[at])
+        on = which < len(self.keys)
+        on[on] = self.keys[which[on]] == keys[at[on]]
+        return at[on], which[on]
+
+    def candidates(self, f: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, item, first hit) of stretches of twice an item's length that hold as much of it as a leak must."""
+        doc_of = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
+        at, which = self._hits(self._pairs(f))
+        inside = doc_of[at] == doc_of[at + 1]
+        at, which = at[inside], which[inside]
+        if self.words:
+            more = self._hits(f.astype(np.int64) + (1 << 32))
+            at, which = np.concatenate([at, more[0]]), np.concatenate([which, more[1]])
+        count = self.first[which + 1] - self.first[which]
+        row = np.repeat(self.first[which] - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+        at, which = np.repeat(at, count), np.repeat(which, count)
+        item, low = self.item[row], offs[doc_of[at]]
+        out = []
+        for shift in (0, 1):  # what is no longer than the item lies inside one stretch of the first or of the second dealing
+            cell = (item * (len(f) + 1) + low + (at - low + shift * self.size[item]) // (2 * self.size[item])) * max(1, len(self.keys)) + which
+            cell, first = np.unique(cell, return_index=True)  # a pair counts as often as the item has it
+            cut = np.flatnonzero(np.diff(cell // max(1, len(self.keys)), prepend=-1))
+            if len(cut):
+                enough = np.add.reduceat(self.times[row[first]], cut) >= self.need[item[first[cut]]]
+                out.append(np.stack([item[first[cut]], np.minimum.reduceat(at[first], cut)])[:, enough])
+        item, at = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), np.int64)
+        return doc_of[at], item, at
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-12)
 
 
 def _search(space: np.ndarray, ids: list[int], items: list[np.ndarray], cosine: float):
     groups, plain = [], [x.tolist() for x in items]
+    grams = _Grams(items)
     widest = max(map(len, plain), default=0) + STEP
     for w in WINDOWS:
         own = [i for i, x in enumerate(items) if len(x) and (len(x) < 2 * WINDOWS[0]) == (w == WINDOWS[0])]
+        # of parts as long as each other, one at least holds the share of the whole
+        parts = [(i, part) for i in own for part in np.array_split(items[i], max(1, len(items[i]) // WINDOWS[1]))]
         if own:
-            groups.append((w // STEP, np.array(own), _unit(np.stack([space[items[i]].sum(axis=0) for i in own]))))
+            groups.append((w // STEP, np.array([i for i, _ in parts]), _unit(np.stack([space[part].sum(axis=0) for _, part in parts]))))
 
     def confirmed(seq: np.ndarray, item: np.ndarray, low: int, high: int) -> tuple[float, float]:
         part = seq[low:high]
@@ -210,13 +285,19 @@ def _search(space: np.ndarray, ids: list[int], items: list[np.ndarray], cosine:
                 starts = _passages(offs, STEP)
                 blocks = _sum_runs(space, f, starts[:-1], np.diff(starts), STEP)
                 doc = np.searchsorted(offs, starts[:-1], side="right") - 1
+                best: dict[tuple[int, int], tuple[bool, float, float]] = {}
+
+                def confirm(d: int, i: int, low: int, high: int) -> None:
+                    share, answer = confirmed(f, items[i], max(int(offs[d]), low), min(int(offs[d + 1]), high))
+                    found = share >= LCS_SHARE and answer >= ANSWER_SHARE, share, answer
+                    best[d, i] = max(best.get((d, i), found), found)
+
                 for wide, own, target in groups:
                     window = blocks.copy()
                     for j in range(1, wide):
                         same = doc[j:] == doc[:-j]
                         window[:-j][same] += blocks[j:][same]
                     close = _unit(window) @ target.T >= cosine
-                    best: dict[tuple[int, int], tuple[float, float]] = {}
                     reach: dict[tuple[int, int], int] = {}
                     seen, near = -1, set()
                     for at, which in zip(*(x.tolist() for x in np.nonzero(close))):
@@ -229,13 +310,19 @@ def _search(space: np.ndarray, ids: list[int], items: list[np.ndarray], cosine:
                         if sum(map(near.__contains__, plain[i])) < LCS_SHARE * len(plain[i]):
                             continue
                         key = (d, i)
-                        if key in best and (best[key][1] >= ANSWER_SHARE or at < reach[key]):
+                        if key in best and best[key][0] or at < reach.get(key, -1):
                             continue
                         slack = len(plain[i]) + STEP
-                        share = confirmed(f, items[i], max(low, start - slack), min(high, end + slack))
+                        confirm(d, i, start - slack, end + slack)
                         reach[key] = at + 2
-                        best[key] = max(best.get(key, share), share)
-                    out += [(first + d, ids[i], a, b) for (d, i), (a, b) in best.items() if a >= LCS_SHARE and b >= ANSWER_SHARE]
+                for d, i, at in zip(*(x.tolist() for x in grams.candidates(f, offs))):
+                    if (d, i) in best and best[d, i][0]:
+                        continue
+                    size = len(plain[i])
+                    near = set(f[max(int(offs[d]), at - size) : min(int(offs[d + 1]), at + 3 * size)].tolist())
+                    if sum(map(near.__contains__, plain[i])) >= _least(size):
+                        confirm(d, i, at - size, at + 3 * size)
+                out += [(first + d, ids[i], a, b) for (d, i), (found, a, b) in best.items() if found]
             if out:
                 rows, item_ids, share, answer = zip(*out)
                 yield pa.RecordBatch.from_arrays([doc_ids.take(pa.array(rows)), pa.array(item_ids, pa.int64()), pa.array(share), pa.array(answer)], ["doc_id", "item_id", "lcs_share", "answer_share"])
