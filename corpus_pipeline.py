@@ -38,8 +38,8 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in training order, with what the mix takes of each."""
-    return curriculum.training_order(curriculum.mix(docs, extra=("lang", "text", "n_chars")))
+    """Documents in training order, one row for each time the mix takes them; those it leaves out are last and have no position."""
+    return curriculum.training_order(curriculum.training_rows(docs, extra=("lang", "text", "n_chars")))
 
 
 STAGES = [

@@ -187,6 +187,34 @@ def test_mix(spark, odd, empty):
     assert order == sorted(order) and curriculum.mix(empty).count() == 0
 
 
+def test_training_rows_follow_the_schedule(spark, odd, empty):
+    rng = random.Random(14)
+    # b and c are cut below their sizes, d is taken more than once, a is taken three times
+    rows = [(1000 * k + i, prose(rng, rng.randrange(1, 40)), "en", s) for k, (s, n) in enumerate({"a": 40, "b": 900, "c": 900, "d": 200}.items()) for i in range(n)]
+    got = [r.asDict() for r in curriculum.training_rows(make(spark, rows)).collect()]
+    taken = collections.defaultdict(int)
+    for r in got:
+        taken[r["doc_id"]] += r["taken"]
+        assert (r["position"] is None) == (r["taken"] == 0) == (r["repeat"] is None)
+    assert taken == {r.doc_id: r.taken for r in curriculum.mix(make(spark, rows)).collect()} and any(not n for n in taken.values())
+    assert len({(r["doc_id"], r["repeat"]) for r in got}) == len(got) and max(r["repeat"] or 0 for r in got) == 2
+
+    def integral(values, t):
+        u, m, v = values
+        x, y = min(t, 0.5), max(t - 0.5, 0.0)
+        return u * x + (m - u) * x * x + m * y + (v - m) * y * y
+
+    for k, s in enumerate("abcd"):
+        mine, values = [r for r in got if r["source"] == s], curriculum.SCHEDULES[k % 3 + 1]
+        for t in np.arange(0.1, 1.05, 0.1):
+            words = sum(r["taken"] for r in mine if r["position"] is not None and r["position"] <= t)
+            assert abs(words - mine[0]["target"] * integral(values, min(t, 1.0)) / integral(values, 1.0)) <= 41, (s, t)
+    order = [r.position for r in curriculum.training_order(curriculum.training_rows(make(spark, rows))).collect()]
+    placed = [p for p in order if p is not None]
+    assert order == sorted(placed) + [None] * (len(order) - len(placed))
+    assert curriculum.training_rows(empty).count() == 0 and curriculum.training_rows(make(spark, odd)).where("size = 0 and position is not null").count() == 0
+
+
 # --- secrets
 
 PATTERNS = [

@@ -71,24 +71,8 @@ def position(share: Column, weight_class: Column, schedules: dict = SCHEDULES, k
     return out
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", extra: tuple[str, ...] = (), fan: int = FAN) -> DataFrame:
-    """One row a document: doc_id, size, source, source_size, target, taken, repeats, position, in training order.
-
-    Within a source, documents stand in the order of a hash of their id.  The
-    mix takes every one of them floor(target / source_size) times, and once
-    more from the start of that order until the target is spent; the last
-    repeat of one document ends where the target does, so taken words meet the
-    target up to rounding.  ``repeats`` is taken / size.
-
-    Cumulative words come from two levels of hash buckets, ``fan`` wide each:
-    sums by bucket, prefix sums over those, and a window inside one bucket, so
-    no task holds a source.
-
-    Defined cases: null text has size 0; a null source is a source of its own,
-    last in order; a source of size 0 has target 0; null or repeated ids are
-    rows like others (equal hashes are ordered by size, then stay equal in
-    effect); an empty table gives an empty result.
-    """
+def _placed(docs: DataFrame, id_col: str, text_col: str, source_col: str, extra: tuple[str, ...], fan: int) -> DataFrame:
+    """``mix`` without positions: one row a document with weight, done (words before it in its source), whole, full and last, as they are said there."""
     key = F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), key.alias("key"), *(F.col(c) for c in extra))
     rows = rows.withColumns({"hi": F.pmod(F.shiftright("key", 32), F.lit(fan)).cast("int"), "lo": F.pmod(F.shiftright("key", 20), F.lit(fan)).cast("int"), "group": F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))})
@@ -109,17 +93,63 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     full = F.when(F.col("source_size") > 0, F.floor(whole / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = whole - full * F.col("source_size")
     last = F.greatest(F.lit(0).cast("long"), F.least(rest - done, F.col("size")))
-    taken = F.least(full * F.col("size") + last, MAX_REPEATS * F.col("size"))
-    share = F.when(F.col("source_size") > 0, (done + F.col("size") / 2) / F.col("source_size")).otherwise(F.lit(0.0))
+    return placed.select("doc_id", "source", "size", "source_size", "target", "weight", done.alias("done"), whole.alias("whole"), full.alias("full"), last.alias("last"), *extra)
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", extra: tuple[str, ...] = (), fan: int = FAN) -> DataFrame:
+    """One row a document: doc_id, size, source, source_size, target, taken, repeats, position, in training order.
+
+    Within a source, documents stand in the order of a hash of their id.  The
+    mix takes every one of them floor(target / source_size) times, and once
+    more from the start of that order until the target is spent; the last
+    repeat of one document ends where the target does, so taken words meet the
+    target up to rounding.  ``repeats`` is taken / size.
+
+    Cumulative words come from two levels of hash buckets, ``fan`` wide each:
+    sums by bucket, prefix sums over those, and a window inside one bucket, so
+    no task holds a source.
+
+    Defined cases: null text has size 0; a null source is a source of its own,
+    last in order; a source of size 0 has target 0; null or repeated ids are
+    rows like others (equal hashes are ordered by size, then stay equal in
+    effect); an empty table gives an empty result.
+    """
+    placed = _placed(docs, id_col, text_col, source_col, extra, fan)
+    taken = F.least(F.col("full") * F.col("size") + F.col("last"), MAX_REPEATS * F.col("size"))
+    share = F.when(F.col("source_size") > 0, (F.col("done") + F.col("size") / 2) / F.col("source_size")).otherwise(F.lit(0.0))
     return placed.select(
         "doc_id", "source", "size", "source_size", "target", taken.alias("taken"),
         F.when(F.col("size") > 0, taken / F.col("size")).otherwise(F.lit(0.0)).alias("repeats"), position(share, F.col("weight")).alias("position"), *extra,
     )
 
 
+def training_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", extra: tuple[str, ...] = (), fan: int = FAN) -> DataFrame:
+    """One row for each time the mix takes a document: the columns of ``mix``, and repeat (0 for the first time).
+
+    A source's words are taken in its order, and again from the start, until
+    the target is spent.  ``position`` is where the source's integrated schedule
+    reaches the share of the target that is spent at the middle of the words
+    taken here, so the words that a stretch of training gets of a source follow
+    its schedule.  ``taken`` and ``repeats`` are those of this time.
+
+    Documents that the mix leaves out have one row with taken 0 and no repeat
+    and no position.  Other defined cases are those of ``mix``.
+    """
+    placed = _placed(docs, id_col, text_col, source_col, extra, fan)
+    taken = [F.when(F.col("full") > i, F.col("size")).when(F.col("full") == i, F.col("last")).otherwise(F.lit(0).cast("long")) for i in range(MAX_REPEATS)]
+    times = F.filter(F.array(*(F.struct(F.lit(i).alias("repeat"), x.alias("taken")) for i, x in enumerate(taken))), lambda t: t["taken"] > 0)
+    rows = placed.withColumn("time", F.explode_outer(times)).withColumns({"repeat": F.col("time.repeat"), "taken": F.coalesce("time.taken", F.lit(0).cast("long"))})
+    share = (F.col("repeat") * F.col("source_size") + F.col("done") + F.col("taken") / 2) / F.col("whole")
+    return rows.select(
+        "doc_id", "source", "size", "source_size", "target", "repeat", "taken", F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(F.lit(0.0)).alias("repeats"),
+        F.when(F.col("taken") > 0, position(share, F.col("weight"))).alias("position"), *extra,
+    )
+
+
 def training_order(mixed: DataFrame) -> DataFrame:
-    """Range-sorted by position, then id."""
-    return mixed.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
+    """Range-sorted by position, then id; rows without a position are last."""
+    by = (F.col("position").asc_nulls_last(), F.col("doc_id").asc())
+    return mixed.repartitionByRange(*by).sortWithinPartitions(*by)
 
 
 def _oracle_position() -> str:
