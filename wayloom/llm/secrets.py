@@ -10,6 +10,7 @@ rules' own anchored automata give the exact spans.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -33,6 +34,7 @@ class Rule:
     least_all: int = 0
     ignore_case: bool = False
     counted: int = 64
+    block: bool = False  # the secret goes on to the line that ends a private key
 
     @property
     def need(self) -> int:
@@ -53,7 +55,7 @@ ADDED = (
     Rule("code_host", "gh[opsu]_", "[A-Za-z0-9]", 36, counted=2),
     Rule("chat", "xox[abps]\\-", r"[A-Za-z0-9\-]", 10, counted=2),
     Rule("cloud", "AIza", r"[A-Za-z0-9_\-]", 1, 39, counted=2),
-    Rule("key_block", r"\-\-\-\-\-BEGIN ([A-Z]+ )*PRIVATE KEY", r"\-", 5, counted=2),
+    Rule("key_block", r"\-\-\-\-\-BEGIN ([A-Z]+ )*PRIVATE KEY", r"\-", 5, counted=2, block=True),
 )
 RULES = BASE + ADDED
 KINDS = tuple(r.kind for r in RULES)
@@ -149,12 +151,30 @@ def find(buf: np.ndarray, offs: np.ndarray, rules: tuple[Rule, ...] = RULES) ->
             if m >> i & 1:
                 out.setdefault(d, []).extend((a + x, a + y, i) for x, y in _matches(rule, parts[i], text))
     for d, spans in out.items():
+        if any(rules[i].block for _, _, i in spans):
+            text, low = buf[offs[d] : offs[d + 1]].tobytes(), int(offs[d])
+            spans[:] = [(a, low + _block_end(text, b - low) if rules[i].block else b, i) for a, b, i in spans]
         lead = np.concatenate([[0], np.cumsum((buf[offs[d] : offs[d + 1]] & 0xC0) != 0x80)])
         out[d] = sorted((int(lead[a - offs[d]]), int(lead[b - offs[d]]), i) for a, b, i in spans)
         out[d].sort(key=lambda s: (s[0], s[2]))
     return out
 
 
+_EDGE = re.compile(rb"-----(BEGIN|END) (?:[A-Z]+ )*PRIVATE KEY-----+")
+_GAP = rb"(?:[\s\"'>|#*,;]|\\[nrt])"
+#: What is left of a key without an end: header lines, base64 of some length, and the word after it, which may be its last line.
+_OPEN = re.compile(rb"(?:%(gap)s*+[A-Z][A-Za-z0-9-]*+:[^\n\\]*+)*+(?:%(gap)s*+[A-Za-z0-9+/=]{16,}+)++(?:%(gap)s++[A-Za-z0-9+/=]++)?+|(?:%(gap)s*+[A-Za-z0-9+/=]++)?+\s*+\Z" % {b"gap": _GAP})
+
+
+def _block_end(text: bytes, at: int) -> int:
+    """End of the private key whose first line ends at ``at``."""
+    edge = _EDGE.search(text, at)
+    if edge and edge[1] == b"END":
+        return edge.end()
+    rest = _OPEN.match(text, at)
+    return rest.end() if rest else at
+
+
 SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
 
 
