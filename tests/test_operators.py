@@ -243,3 +243,27 @@ def test_plan_routes(spark):
     got = {r.req_id: r for r in api.plan_routes(req, nodes, edges, maxheight_m=4.0).collect()}
     assert got[1].status == "ok" and got[1].length_m == 4448.0 and abs(got[1].minutes - 3.336) < 1e-9 and '"day":1' in got[1].cards
     assert got[2].status == "snap_too_far" and got[3].status == "no_path"
+
+
+def test_nearest_vectors_have_no_cap(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 6, (1300, 4)).astype(np.float32)  # many equal distances
+    rows = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>").repartition(5)
+    monkeypatch.setattr(S, "QUERY_BLOCK", 500)
+    got = {}
+    for r in S.nearest_vectors(rows, rows, 5).collect():
+        got.setdefault(r.q_id, set()).add((r.dist, r.vec_id))
+    d = np.round(np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2, dtype=np.float64)), 4)
+    assert got == {i: {(d[i, j], j) for j in sorted(range(len(x)), key=lambda j: (d[i, j], j))[:5]} for i in range(len(x))}
+    assert S.nearest_vectors(rows, rows.limit(0), 5).count() == 0
+
+
+def test_vector_topk_answers_all_its_queries(spark, tmp_path):
+    from wayloom.plans import registry
+
+    n = 50 * 1100
+    spark.range(n).selectExpr("id as vec_id", "array(cast(id as float), cast(0 as float)) as embedding").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = registry.queries()["vector_topk"](spark, str(tmp_path))
+    assert got.select("q_id").distinct().count() == 1100 and got.count() == 5500

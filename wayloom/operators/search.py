@@ -1,7 +1,11 @@
-"""Place search: token-prefix matching and ranking; nearby places."""
+"""Place search: token-prefix matching and ranking; nearby places; nearest vectors."""
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from wayloom.functions import geo
@@ -63,3 +67,58 @@ def most_common_label(hits: DataFrame) -> DataFrame:
     """Mode of label per key; first seen wins ties."""
     n = hits.groupBy("key", "label").agg(F.count("*").alias("n"), F.min("pos").alias("p"))
     return n.groupBy("key").agg(F.min_by("label", F.struct(-F.col("n"), F.col("p"))).alias("label"))
+
+
+QUERY_BLOCK = 1024  # query vectors compared at a time
+ROUND_ERROR = 1e-4  # distances that may be equal when rounded to 4 places
+
+
+def _nearest_in(ids: np.ndarray, queries: np.ndarray, k: int):
+    """A partition's rows that may be among the k nearest of a query: all up to its k-th distance and what rounding may make equal to it."""
+
+    def run(batches):
+        best = np.full((len(ids), k), np.inf)
+        which, vec, dist = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                rows = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
+                d = np.zeros((len(ids), len(rows)))
+                for j in range(rows.shape[1]):  # in the order of the elements, so that sums do not depend on the blocks
+                    d += (queries[:, j, None] - rows[None, :, j]) ** 2
+                d = np.sqrt(d)
+                best = np.sort(np.concatenate([best, d], axis=1), axis=1)[:, :k]
+                limit = best[:, -1] + ROUND_ERROR
+                q, r = np.nonzero(d <= limit[:, None])
+                old = dist <= limit[which]
+                which, dist = np.concatenate([which[old], q]), np.concatenate([dist[old], d[q, r]])
+                vec = np.concatenate([vec[old], part.column(0).to_numpy(zero_copy_only=False)[r]])
+        yield pa.RecordBatch.from_arrays([pa.array(ids[which]), pa.array(vec, pa.int64()), pa.array(dist)], ["q_id", "vec_id", "dist"])
+
+    return run
+
+
+def nearest_vectors(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(q_id, vec_id, dist): the k rows of ``vectors`` nearest to each of ``queries`` (vec_id, embedding), distance to 4 places, then id.
+
+    Queries may have any number: they are taken in blocks of QUERY_BLOCK, and each partition sends only its own nearest rows on.
+    """
+    rows = vectors.select(F.col("vec_id").cast("long"), "embedding").where("embedding is not null")
+    found, block = [], []
+
+    def flush():
+        near = _nearest_in(np.array([i for i, _ in block], np.int64), np.array([v for _, v in block], np.float64), k)
+        found.append(rows.mapInArrow(near, "q_id long, vec_id long, dist double"))
+        block.clear()
+
+    for q in queries.select(F.col("vec_id").cast("long"), "embedding").where("embedding is not null").toLocalIterator():
+        block.append((q[0], q[1]))
+        if len(block) == QUERY_BLOCK:
+            flush()
+    if block:
+        flush()
+    if not found:
+        return rows.select(F.col("vec_id").alias("q_id"), "vec_id", F.lit(0.0).alias("dist")).limit(0)
+    w = W.partitionBy("q_id").orderBy("dist", "vec_id")
+    near = reduce(DataFrame.union, found).withColumn("dist", F.round("dist", 4))
+    return near.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r")

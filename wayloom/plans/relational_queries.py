@@ -252,7 +252,4 @@ def speed_windows(spark, d):
  SELECT q_id, vec_id, dist FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY dist, vec_id) AS r FROM s) WHERE r <= 5""")
 def vector_topk(spark, d):
     e = table(spark, d, "embeddings")
-    q = F.broadcast(e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q")).limit(1000))  # a stated, bounded query set
-    dist = R(F.sqrt(F.aggregate(F.zip_with("q", "embedding", lambda a, b: F.pow(a.cast("double") - b.cast("double"), F.lit(2.0))), F.lit(0.0), lambda s, x: s + x)), 4)
-    w = W.partitionBy("q_id").orderBy("dist", "vec_id")
-    return e.join(q, F.lit(True)).select("q_id", "vec_id", dist.alias("dist")).withColumn("r", F.row_number().over(w)).where("r <= 5").drop("r")
+    return S.nearest_vectors(e, e.where("vec_id % 50 = 0"), 5)
