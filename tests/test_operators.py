@@ -267,3 +267,13 @@ def test_vector_topk_answers_all_its_queries(spark, tmp_path):
     spark.range(n).selectExpr("id as vec_id", "array(cast(id as float), cast(0 as float)) as embedding").write.parquet(str(tmp_path / "embeddings.parquet"))
     got = registry.queries()["vector_topk"](spark, str(tmp_path))
     assert got.select("q_id").distinct().count() == 1100 and got.count() == 5500
+
+
+@pytest.mark.parametrize("name", ["truck_days", "fmcsa_days", "hut_days"])
+def test_planners_take_every_trip(spark, name):
+    from wayloom.plans import planner_queries, registry, views
+
+    d = "/root/testdata/sf0.001"
+    want = views.nodes(spark, d).select("id") if name == "hut_days" else planner_queries._trips(spark, d).select("req_id")
+    got = registry.queries()[name](spark, d).select("req_id").distinct()
+    assert sorted(got.collect()) == sorted(want.distinct().collect())
