@@ -33,23 +33,3 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             scratch.drop(both)
             return label.select("node", "component")
 
-
-def bucket_components(members: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, component) over rows (key, node): nodes that share a key are joined.
-
-    The edges of the stars (smallest node of a key, other nodes) are never made:
-    a round takes the least label in each key, then the least over a node's
-    keys, then the label of that label.  All rows stay one a membership.
-    """
-    label = scratch.save(members.groupBy("node").agg(F.min("node").alias("component")), "labels")
-    while True:
-        low = scratch.save(members.join(label, "node").groupBy("key").agg(F.min("component").alias("low")), "keys")
-        near = members.join(low.hint("merge"), "key").groupBy("node").agg(F.min("low").alias("seen"))
-        lower = label.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "seen").alias("mid"))
-        jump = label.select(F.col("node").alias("mid"), F.col("component").alias("up"))
-        done = scratch.save(lower.join(jump, "mid", "left").select("node", "was", F.least("mid", "up").alias("component")), "labels")
-        changed = done.where("component <> was").limit(1).count()
-        scratch.drop(label, low)
-        label = done
-        if not changed:
-            return label.select("node", "component")
