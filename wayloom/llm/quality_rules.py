@@ -68,23 +68,34 @@ def _repeat_words(hashes: Column) -> Column:
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and MEASURES (long); see ``ledger`` for the defined cases."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    only = lambda keep: F.length(F.regexp_replace("text", f"[^{keep}]+", ""))
-    base = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).select(
-        "doc_id", "text", F.array_remove(F.split("text", SPACE + "+"), "").alias("words"))
-    n = F.size("words")
-    window = lambda at: F.slice("words", at, n - 2)
+    return _measured(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), ("doc_id",)).select("doc_id", *MEASURES)
+
+
+def _measured(docs: DataFrame, carried: tuple[str, ...]) -> DataFrame:
+    """MEASURES of the column ``text`` beside the ``carried`` columns."""
+    only = lambda keep: F.length(F.regexp_replace("_text", f"[^{keep}]+", ""))
+    keep = [F.col(f"`{c}`") for c in carried]
+    base = docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).alias("_text")).select(*keep, "_text", F.array_remove(F.split("_text", SPACE + "+"), "").alias("_words"))
+    n = F.size("_words")
+    window = lambda at: F.slice("_words", at, n - 2)
     grams = F.transform(F.arrays_zip(window(1).alias("x"), window(2).alias("y"), window(3).alias("z")), lambda g: F.xxhash64(g["x"], g["y"], g["z"]))
-    lines = F.filter(F.split("text", "\n"), lambda x: F.rlike(x, F.lit(NOT_SPACE)))
+    lines = F.filter(F.split("_text", "\n"), lambda x: F.rlike(x, F.lit(NOT_SPACE)))
     wide = base.select(
-        "doc_id", n.alias("n_words"), (F.length("text") - F.length(F.regexp_replace("text", NOT_SPACE + "+", ""))).alias("word_chars"),
-        only("#*$%&|<>").alias("n_symbols"), lines.alias("lines"), F.when(n >= 3, grams).otherwise(F.array().cast("array<bigint>")).alias("grams"),
+        *keep, n.alias("n_words"), (F.length("_text") - F.length(F.regexp_replace("_text", NOT_SPACE + "+", ""))).alias("word_chars"),
+        only("#*$%&|<>").alias("n_symbols"), lines.alias("_lines"), F.when(n >= 3, grams).otherwise(F.array().cast("array<bigint>")).alias("_grams"),
         only("A-Z").alias("n_upper"), only("a-z").alias("n_lower"),
     )
     return wide.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", F.size("lines").alias("n_lines"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"), _repeat_words(F.col("grams")).alias("n_repeat_words"), "n_upper", "n_lower",
-    ).select("doc_id", *(F.col(m).cast("long") for m in MEASURES))
+        *keep, "n_words", "word_chars", "n_symbols", F.size("_lines").alias("n_lines"),
+        (F.size("_lines") - F.size(F.array_distinct("_lines"))).alias("n_dup_lines"), _repeat_words(F.col("_grams")).alias("n_repeat_words"), "n_upper", "n_lower",
+    ).select(*keep, *(F.col(m).cast("long") for m in MEASURES))
+
+
+def _bits(rules: tuple[Rule, ...]) -> Column:
+    bits = F.lit(0).cast("long")
+    for i, rule in enumerate(rules):
+        bits = bits.bitwiseOR(F.when(F.expr(rule.fails), F.lit(1 << i)).otherwise(F.lit(0)).cast("long"))
+    return bits
 
 
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -95,10 +106,7 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule
     repeat, each row is measured alone; an empty table gives an empty ledger;
     no other column of ``docs`` is read.
     """
-    bits = F.lit(0).cast("long")
-    for i, rule in enumerate(rules):
-        bits = bits.bitwiseOR(F.when(F.expr(rule.fails), F.lit(1 << i)).otherwise(F.lit(0)).cast("long"))
-    return measure(docs, id_col, text_col).withColumn("fail_bits", bits)
+    return measure(docs, id_col, text_col).withColumn("fail_bits", _bits(rules))
 
 
 def verdict(table: DataFrame, version: str = CURRENT) -> DataFrame:
@@ -123,16 +131,19 @@ def ablation(table: DataFrame, version: str = CURRENT, rules: tuple[Rule, ...] =
     return table.agg(*aggs).select(rows.alias("r")).select("r.*")
 
 
-def accepted(docs: DataFrame, version: str = CURRENT) -> DataFrame:
-    """The rows of ``docs`` (all columns, unchanged) that the policy keeps, decided row by row.
+def accepted(docs: DataFrame, version: str = CURRENT, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows of ``docs`` (all columns, unchanged, ``text`` among them) that the policy keeps, decided row by row.
 
-    A row leaves as an array of none or one element: a filter would be pushed
-    below the measures and compute each of them once for every rule that uses it.
+    The row number beside the bits keeps the filter above the ledger: pushed
+    below, it would compute each measure once for every rule that uses it.
+    Columns of ``docs`` may have any names.  Other defined cases are those of
+    ``ledger``.
     """
-    names = docs.columns
-    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("doc_id"), F.col("text").alias("text"))
-    judged = verdict(ledger(whole), version)
-    return judged.select(F.explode(F.when(F.col("kept"), F.array("doc_id"))).alias("doc")).select("doc.*")
+    names = [f"_doc{i}" for i in range(len(docs.columns))]
+    own = docs.toDF(*names).withColumn("text", F.col(names[docs.columns.index("text")]))
+    judged = _measured(own, tuple(names)).select(*names, _bits(rules).alias("_bits"), F.monotonically_increasing_id().alias("_row"))
+    kept = judged.where((F.col("_bits").bitwiseAND(F.lit(POLICIES[version] | POLICIES["base"]).cast("long")) == 0) & (F.col("_row") >= 0))
+    return kept.select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns)))
 
 
 ORACLE = r"""

@@ -8,6 +8,7 @@ is left goes when the driver process ends.
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -17,9 +18,11 @@ _local: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; only where it is unset, a local folder."""
+    """spark.checkpoint.dir of the session.  Only a session inside one machine may leave it unset; it gets a local folder."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _local:
             _local.append("file://" + tempfile.mkdtemp(prefix="wayloom-"))
         root = _local[0]
