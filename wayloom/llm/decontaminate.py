@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from wayloom.llm.memory import bounded
 from wayloom.llm import textvec as tv
 from wayloom.llm.scratch import Scratch
 
@@ -139,7 +140,7 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def latent_space(encoded: DataFrame, rank: int = RANK, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """(VOCAB, rank) map of a word to the latent space (IDF and 1 / singular value included), and the singular values."""
-    freq = encoded.select("feats").mapInArrow(_frequencies, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()  # VOCAB + 1 rows at most
+    freq = encoded.select("feats").mapInArrow(bounded(_frequencies), "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()  # VOCAB + 1 rows at most
     feature, count = freq["feature"].to_numpy(), freq["n"].to_numpy()
     n = int(count[feature < 0].sum())
     if not n:
@@ -148,8 +149,8 @@ def latent_space(encoded: DataFrame, rank: int = RANK, seed: int = 7) -> tuple[n
     idf[feature[feature >= 0]] = np.log((1 + n) / (1 + count[feature >= 0])) + 0.01
     test = np.random.default_rng(seed).standard_normal((VOCAB, rank), dtype=np.float32)
     parts = (
-        encoded.select("feats").mapInArrow(_project(test, idf, ROW_BLOCKS), "block int, part binary")
-        .repartition(ROW_BLOCKS, "block").mapInArrow(_add, "block int, part binary").toArrow()
+        encoded.select("feats").mapInArrow(bounded(_project(test, idf, ROW_BLOCKS)), "block int, part binary")
+        .repartition(ROW_BLOCKS, "block").mapInArrow(bounded(_add), "block int, part binary").toArrow()
     )
     b = np.zeros((VOCAB, rank), np.float32)
     size = VOCAB // ROW_BLOCKS
@@ -341,14 +342,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """
     scratch = Scratch(docs.sparkSession, "decontaminate")
     kind = docs.schema[id_col].dataType.simpleString()
-    encoded = scratch.save(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(_encode, f"doc_id {kind}, feats binary"), "features")
+    encoded = scratch.save(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(bounded(_encode), f"doc_id {kind}, feats binary"), "features")
     space, _ = latent_space(encoded)
     schema = f"doc_id {kind}, item_id long, lcs_share double, answer_share double"
     found, block = [], []
 
     def flush():
         seqs = [features(*tv.buffers(pa.array([t or ""])))[0] for _, t in block]
-        found.append(encoded.mapInArrow(_search(space, [i for i, _ in block], seqs, cosine), schema))
+        found.append(encoded.mapInArrow(bounded(_search(space, [i for i, _ in block], seqs, cosine)), schema))
         block.clear()
 
     for row in benchmark.select(F.col("item_id").cast("long"), "text").where("item_id is not null").toLocalIterator():

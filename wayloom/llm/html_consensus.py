@@ -17,6 +17,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from wayloom.llm.memory import bounded
 from wayloom.llm.scratch import Scratch
 
 RAW = "script|style|noscript|template|textarea|title|iframe|svg|math|object"
@@ -190,7 +191,7 @@ def host(url):
 
 def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(host, path, votes): each host's winning path; ties go to the larger score, then the smaller path."""
-    votes = pages.select(host(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).mapInArrow(_votes, "host string, path string, score double")
+    votes = pages.select(host(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).mapInArrow(bounded(_votes), "host string, path string, score double")
     by_path = votes.groupBy("host", "path").agg(F.count("*").alias("votes"), F.round(F.sum("score"), 3).alias("score"))
     rank = F.struct(-F.col("votes"), -F.col("score"), F.col("path"))
     return by_path.groupBy("host").agg(F.min_by(F.struct("path", "votes"), rank).alias("won")).select("host", "won.path", "won.votes")
@@ -208,5 +209,5 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     won = scratch.save(host_paths(pages, url_col, html_col).select("host", "path"), "paths")
     kind = pages.schema[id_col].dataType.simpleString()
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host(F.col(url_col)).alias("host"))
-    texts = rows.join(won.hint("merge"), "host", "left").select("page_id", "url", "html", "path").mapInArrow(_texts, f"page_id {kind}, url string, text string")
+    texts = rows.join(won.hint("merge"), "host", "left").select("page_id", "url", "html", "path").mapInArrow(bounded(_texts), f"page_id {kind}, url string, text string")
     return texts.withColumn("n_chars", F.length("text").cast("long"))

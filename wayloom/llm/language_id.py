@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from wayloom.llm.memory import bounded
 from wayloom.llm import textvec as tv
 
 BUCKETS = 1 << 15
@@ -163,14 +164,14 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
     counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
     if not counts:
         return None
-    df = {r.bucket: r.n for r in rows.select("text").mapInArrow(_document_frequencies, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()}
+    df = {r.bucket: r.n for r in rows.select("text").mapInArrow(bounded(_document_frequencies), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()}
     total = df.pop(BUCKETS, 0)
     idf = np.full(BUCKETS, np.log(1 + total) + 1.0)
     for b, n in df.items():
         idf[b] = np.log((1 + total) / (1 + n)) + 1.0
     share = F.create_map(*(x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, per_lang / n)))))
     unit = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_000)) / 1e6
-    sample = rows.where(unit < share[F.col("lang")]).select("text", "lang").mapInArrow(_vectors, "lang string, which binary, counts binary").collect()
+    sample = rows.where(unit < share[F.col("lang")]).select("text", "lang").mapInArrow(bounded(_vectors), "lang string, which binary, counts binary").collect()
     sample.sort(key=lambda r: (r.which, r.counts, r.lang))  # the order of tasks must not matter
     if not sample:
         return None
@@ -206,4 +207,4 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
             out = [m.predict(w, c) if ok and m else (UNDETERMINED, 0.0) for _, w, c, ok in sparse_rows(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in out], pa.string()), pa.array([s for _, s in out], pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(bounded(run), f"doc_id {kind}, lang_pred string, score double")

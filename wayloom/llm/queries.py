@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wayloom.llm import curriculum, quality_rules
+from wayloom.llm.scratch import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -92,7 +93,8 @@ def op1_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wayloom.llm import warc
 
     _, whole = warc.archive_pages(_table(spark, sf_dir, "pages"))
-    return whole.select(
+    found = warc.verified(Scratch(spark, "records").save(whole.drop("payload"), "records"))
+    return found.select(
         warc.page_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), warc.page_of(F.col("refers_to")).alias("refers_to"), "intact")
 
 

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from wayloom.llm.memory import bounded
 from wayloom.llm import textvec as tv
 from wayloom.llm.automaton import Dfa, Nfa, anchored, determinise, parse
 
@@ -194,7 +195,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     empty table gives an empty result; other columns are not read.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_scan, f"doc_id {kind}, spans array<struct<kind:string,start:int,end:int>>")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(bounded(_scan), f"doc_id {kind}, spans array<struct<kind:string,start:int,end:int>>")
 
 
 def mask_text(text: str, spans: list[tuple[int, int, int]], kinds: tuple[str, ...] = KINDS) -> str:
@@ -228,7 +229,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
             arrays = [col if i == at else batch.column(i) for i in range(batch.num_columns)]
             yield pa.RecordBatch.from_arrays(arrays, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(bounded(run), docs.schema)
 
 
 def digest(table: DataFrame) -> DataFrame:

@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from wayloom.llm.memory import bounded
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A text is encoded in pieces of about so many characters, cut only where the
@@ -107,4 +109,4 @@ def count_tokens(docs: DataFrame, sections: Column | None = None, id_col: str =
     kind = docs.schema[id_col].dataType.simpleString()
     sizes = line_sections(F.col(text_col)) if sections is None else sections
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(sizes, F.array().cast("array<int>")).alias("sizes"))
-    return rows.mapInArrow(_count(path), f"doc_id {kind}, n_tokens long, section_tokens array<long>, n_crossing long")
+    return rows.mapInArrow(bounded(_count(path)), f"doc_id {kind}, n_tokens long, section_tokens array<long>, n_crossing long")

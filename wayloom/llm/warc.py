@@ -20,12 +20,15 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.taskcontext import TaskContext
 
+from wayloom.llm.memory import bounded
 from wayloom.llm.scratch import Scratch
 
 SEGMENT_BYTES = 16_384
 CHUNK_BYTES = 4_096
 REVISIT_LEAST = 100
 READ_BYTES = 1 << 20
+STEP_BYTES = 1 << 14
+BATCH_BYTES = 4_000_000
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -92,44 +95,70 @@ def revisit_record(urn: str, url: str, size: int, digest: str, refers_to: str) -
         b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % size)
 
 
+class _Inflated:
+    """Bytes of a plain or gzip stream (any number of members), inflated in bounded steps; a position moves, nothing is cut off the front."""
+
+    def __init__(self, stream):
+        self.stream, self.raw, self.from_, self.z = stream, memoryview(b""), 0, None
+        self.buf, self.at, self.packed = b"", 0, None
+
+    def _next(self) -> bytes:
+        while True:
+            if self.from_ == len(self.raw):
+                self.raw, self.from_ = memoryview(self.stream.read(READ_BYTES)), 0
+                if not len(self.raw):
+                    return b""
+                if self.packed is None:
+                    self.packed = bytes(self.raw[:2]) == b"\x1f\x8b"
+            if not self.packed:
+                out, self.from_ = bytes(self.raw[self.from_ :]), len(self.raw)
+                return out
+            # a small step, since zlib copies what follows the end of a member
+            step = self.raw[self.from_ : self.from_ + STEP_BYTES]
+            self.z = self.z or zlib.decompressobj(31)
+            out = self.z.decompress(step, READ_BYTES)
+            left = len(self.z.unused_data) if self.z.eof else len(self.z.unconsumed_tail)
+            self.from_ += len(step) - left
+            if self.z.eof:
+                self.z = None
+            if out:
+                return out
+
+    def more(self) -> bool:
+        got = self._next()
+        self.buf, self.at = self.buf[self.at :] + got, 0
+        return bool(got)
+
+    def head(self) -> bytes | None:
+        """What stands before the next empty line; None at the end."""
+        while True:
+            while self.buf[self.at : self.at + 2] == b"\r\n":
+                self.at += 2
+            end = self.buf.find(b"\r\n\r\n", self.at)
+            if end >= 0:
+                out, self.at = self.buf[self.at : end], end + 4
+                return out
+            if not self.more():
+                if self.buf[self.at :].strip():
+                    raise ValueError("an archive ends inside a record")
+                return None
+
+    def take(self, size: int) -> bytes:
+        parts, have = [self.buf[self.at : self.at + size]], min(size, len(self.buf) - self.at)
+        self.at += have
+        while have < size:
+            if not self.more():
+                raise ValueError("an archive ends inside a block")
+            parts.append(self.buf[: size - have])
+            self.at = len(parts[-1])
+            have += self.at
+        return b"".join(parts)
+
+
 def records(stream) -> Iterator[Record]:
     """Records of an archive, read in bounded steps; plain and gzip (one member a record or one for all)."""
-    buf, z, ended = b"", None, False
-    first = stream.read(2)
-    packed = first == b"\x1f\x8b"
-    raw = first
-
-    def more() -> bool:
-        nonlocal buf, z, raw, ended
-        while not ended:
-            data = raw or stream.read(READ_BYTES)
-            raw = b""
-            if not data:
-                ended = True
-                return False
-            if not packed:
-                buf += data
-                return True
-            got = []
-            while data:
-                z = z or zlib.decompressobj(31)
-                got.append(z.decompress(data))
-                data, z = (z.unused_data, None) if z.eof else (b"", z)
-            buf += b"".join(got)
-            if any(got):
-                return True
-        return False
-
-    while True:
-        while b"\r\n\r\n" not in buf:
-            if not more():
-                if buf.strip():
-                    raise ValueError("an archive ends inside a record")
-                return
-        buf = buf.lstrip(b"\r\n")
-        if b"\r\n\r\n" not in buf:
-            continue
-        head, _, rest = buf.partition(b"\r\n\r\n")
+    source = _Inflated(stream)
+    while (head := source.head()) is not None:
         lines = head.decode("utf-8", "replace").split("\r\n")
         if not lines[0].startswith("WARC/"):
             raise ValueError(f"not a WARC record: {lines[0][:40]!r}")
@@ -142,17 +171,7 @@ def records(stream) -> Iterator[Record]:
             name, _, value = line.partition(":")
             key = name.strip().lower()
             headers[key] = value.strip()
-        size, parts, have = int(headers["content-length"]), [rest], len(rest)
-        buf = b""
-        while have < size:
-            if not more():
-                raise ValueError("an archive ends inside a block")
-            parts.append(buf)
-            have += len(buf)
-            buf = b""
-        whole = b"".join(parts)
-        yield Record(headers, whole[:size])
-        buf = whole[size:]
+        yield Record(headers, source.take(int(headers["content-length"])))
 
 
 def _open(uri: str, write: bool = False):
@@ -175,14 +194,14 @@ def _write(root: str):
                 fs.create_dir(folder, recursive=True)
                 own = f"{uri}.{TaskContext.get().taskAttemptId()}"
                 stream, fs, path = _open(own, True)
-            for row in batch.to_pylist():
-                urn, url = row["urn"], (row["url"] or "").replace("\r", "%0D").replace("\n", "%0A")
-                payload = (row["html"] or "").encode()
-                if row["refers_to"] is None:
-                    for raw in response_records(urn, url, payload, row["digest"]):
+            for urn, url, html, digest, refers_to in zip(*batch.columns):
+                address = (url.as_py() or "").replace("\r", "%0D").replace("\n", "%0A")
+                payload = html.as_buffer().to_pybytes() if html.is_valid else b""
+                if not refers_to.is_valid:
+                    for raw in response_records(urn.as_py(), address, payload, digest.as_py()):
                         stream.write(raw)
                 else:
-                    stream.write(revisit_record(urn, url, len(payload), row["digest"], row["refers_to"]))
+                    stream.write(revisit_record(urn.as_py(), address, len(payload), digest.as_py(), refers_to.as_py()))
                 n += 1
         if stream is not None:
             stream.close()
@@ -192,83 +211,120 @@ def _write(root: str):
     return run
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _read(wanted: bool | None):
+    """Rows of SEGMENT_SCHEMA.  wanted: only records that are (True) or are not (False) segments."""
     names = [c.split()[0] for c in SEGMENT_SCHEMA.split(", ")]
     types = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.binary()]
 
     def batch_of(rows):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
-    for batch in batches:
-        for uri in batch.column(0).to_pylist():
-            stream, _, _ = _open(uri)
-            rows, held = [], 0
-            for r in records(stream):
-                h = r.headers
-                own = h.get("warc-record-id", "").strip("<>")
-                total = h.get("warc-segment-total-length")
-                rows.append((uri, own, h.get("warc-segment-origin-id", own).strip("<>"), int(h.get("warc-segment-number", 0)), int(total) if total else None, h.get("warc-type"), h.get("warc-target-uri"), h.get("warc-payload-digest"), h.get("warc-refers-to", "").strip("<>") or None, r.block))
-                held += len(r.block)
-                if held > 4_000_000:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for uri in batch.column(0).to_pylist():
+                stream, _, _ = _open(uri)
+                rows, held = [], 0
+                for r in records(stream):
+                    h = r.headers
+                    number = int(h.get("warc-segment-number", 0))
+                    if wanted is not None and wanted != (number > 0):
+                        continue
+                    own, total = h.get("warc-record-id", "").strip("<>"), h.get("warc-segment-total-length")
+                    rows.append((uri, own, h.get("warc-segment-origin-id", own).strip("<>"), number, int(total) if total else None, h.get("warc-type"), h.get("warc-target-uri"), h.get("warc-payload-digest"), h.get("warc-refers-to", "").strip("<>") or None, r.block))
+                    held += len(r.block) + 500
+                    if held > BATCH_BYTES:
+                        yield batch_of(rows)
+                        rows, held = [], 0
+                stream.close()
+                if rows:
                     yield batch_of(rows)
-                    rows, held = [], 0
-            stream.close()
-            if rows:
-                yield batch_of(rows)
+
+    return run
 
 
 def write_archives(rows: DataFrame, root: str) -> DataFrame:
     """Writes rows (urn, url, html, digest, refers_to) and returns (archive, n), one row a file."""
-    return rows.select("urn", "url", "html", "digest", "refers_to").mapInArrow(_write(root), "archive string, n long")
+    return rows.select("urn", "url", "html", "digest", "refers_to").mapInArrow(bounded(_write(root)), "archive string, n long")
 
 
-def read_segments(archives: DataFrame) -> DataFrame:
-    """One row a record of the archives; records without segments have segment 0."""
-    return archives.select("archive").mapInArrow(_read, SEGMENT_SCHEMA)
+def read_segments(archives: DataFrame, segmented: bool | None = None) -> DataFrame:
+    """One row a record of the archives; records without segments have segment 0.  segmented: only segments, or only the others."""
+    return archives.select("archive").mapInArrow(bounded(_read(segmented)), SEGMENT_SCHEMA)
 
 
-def _payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for kind, block in zip(batch.column(1).to_pylist(), batch.column(2)):
-            raw = block.as_buffer().to_pybytes()
-            if kind == "revisit":
-                m = re.search(rb"(?im)^content-length:\s*(\d+)", raw)
-                out.append((int(m[1]) if m else 0, None, None))
-            else:
-                p = payload_of(raw)
-                out.append((len(p), hashlib.sha256(p).hexdigest(), p))
-        yield pa.RecordBatch.from_arrays([
-            *(batch.column(i) for i in (0, 1, 3, 4, 5)), pa.array([x for x, _, _ in out], pa.int64()), pa.array([d for _, d, _ in out], pa.string()), pa.array([p for _, _, p in out], pa.binary()),
-        ], ["record_id", "warc_type", "url", "digest", "refers_to", "payload_bytes", "computed", "payload"])
+WHOLE = "record_id string, warc_type string, url string, payload_bytes long, payload_digest string, refers_to string, payload binary, intact boolean"
 
 
-def reassemble(segments: DataFrame) -> DataFrame:
+def _whole(kind: str, block: bytes | None, digest: str | None) -> tuple:
+    """(payload_bytes, payload_digest, payload, intact) of a block; None: its segments do not join."""
+    stated = digest.removeprefix("sha256:") if digest is not None else None
+    if block is None:
+        return None, stated, None, False
+    if kind == "revisit":
+        m = re.search(rb"(?im)^content-length:\s*(\d+)", block)
+        return int(m[1]) if m else 0, stated, None, True
+    payload = payload_of(block)
+    own = hashlib.sha256(payload).hexdigest()
+    return len(payload), own, payload, stated in (None, own)
+
+
+def _joined(parts: list[tuple[int, bytes]], total: int | None) -> bytes | None:
+    """The blocks of segments in order; None if one is missing, there twice with another content, or the length is not the stated total."""
+    parts = sorted(parts, key=lambda p: p[0])
+    block = b"".join(b for _, b in parts)
+    return block if [n for n, _ in parts] == list(range(1, len(parts) + 1)) and len(block) == total else None
+
+
+def _payloads(segmented: bool):
+    names, types = zip(*(c.split() for c in WHOLE.split(", ")))
+    types = [{"string": pa.string(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_()}[t] for t in types]
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(types)], list(names))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, held = [], 0
+            for own, kind, url, digest, refers_to, block, total in zip(*batch.columns):
+                raw = _joined([(p["segment"].as_py(), p["block"].as_buffer().to_pybytes()) for p in block], total.as_py()) if segmented else block.as_buffer().to_pybytes()
+                size, computed, payload, intact = _whole(kind.as_py(), raw, digest.as_py())
+                rows.append((own.as_py(), kind.as_py(), url.as_py(), size, computed, refers_to.as_py(), payload, intact))
+                held += len(payload or b"") + 500
+                if held > BATCH_BYTES:
+                    yield batch_of(rows)
+                    rows, held = [], 0
+            yield batch_of(rows)
+
+    return run
+
+
+def reassemble(segments: DataFrame, whole: DataFrame | None = None) -> DataFrame:
     """Whole records: record_id, warc_type, url, payload_bytes, payload_digest, refers_to, payload, intact.
 
-    Segments of one origin are ordered by number and joined; ``intact`` is
-    false if a number is missing or repeated with another content, if the
-    joined length is not the stated total, or if the payload's digest is not
-    the stated one.  Repeated identical segments (a record archived twice)
-    count once.  Only segmented records are shuffled, keyed by origin.
+    ``whole`` are the rows of ``read_segments`` that are no segments (by default
+    they are among ``segments``).  Segments of one origin are ordered by number and joined;
+    ``intact`` is false if a number is missing or repeated with another content,
+    if the joined length is not the stated total, or if the payload's digest is
+    not the stated one.  Repeated identical segments (a record archived twice)
+    count once.  Only segments are shuffled, keyed by origin; one record's
+    segments have to fit into a row, as its payload does.
     """
-    single = segments.where("segment = 0").select("record_id", "warc_type", "block", "url", "digest", "refers_to", F.lit(True).alias("joined"))
+    whole = segments.where("segment = 0") if whole is None else whole
     parts = segments.where("segment > 0").groupBy("origin_id").agg(
-        F.array_sort(F.collect_set(F.struct("segment", "block"))).alias("parts"), F.max("total_length").alias("total"),
+        F.collect_set(F.struct("segment", "block")).alias("block"), F.max("total_length").alias("total"),
         *(F.max(F.when(F.col("segment") == 1, F.col(c))).alias(c) for c in ("warc_type", "url", "digest", "refers_to")),
     )
-    block = F.expr("aggregate(parts, cast('' as binary), (a, p) -> concat(a, p.block))")
-    numbered = F.transform("parts", lambda p: p["segment"]) == F.sequence(F.lit(1), F.size("parts"))
-    multi = parts.withColumn("block", block).select(
-        F.col("origin_id").alias("record_id"), "warc_type", "block", "url", "digest", "refers_to", F.coalesce(numbered & (F.octet_length("block") == F.col("total")), F.lit(False)).alias("joined"))
-    decode = lambda df: df.select("record_id", "warc_type", "block", "url", "digest", "refers_to").mapInArrow(_payloads, "record_id string, warc_type string, url string, digest string, refers_to string, payload_bytes long, computed string, payload binary")
-    whole = decode(single).withColumn("joined", F.lit(True)).unionByName(decode(multi.where("joined")).withColumn("joined", F.lit(True)))
-    broken = multi.where("not joined").select("record_id", "warc_type", "url", "digest", "refers_to", F.lit(None).cast("long").alias("payload_bytes"), F.lit(None).cast("string").alias("computed"), F.lit(None).cast("binary").alias("payload"), F.lit(False).alias("joined"))
-    stated = F.regexp_replace("digest", "^sha256:", "")
-    return whole.unionByName(broken).select(
-        "record_id", "warc_type", "url", "payload_bytes", F.coalesce("computed", stated).alias("payload_digest"), "refers_to", "payload",
-        (F.col("joined") & F.coalesce(F.col("computed") == stated, F.lit(True))).alias("intact"),
-    )
+    columns = ("record_id", "warc_type", "url", "digest", "refers_to", "block", "total")
+    single = whole.withColumn("total", F.lit(None).cast("long")).select(*columns).mapInArrow(bounded(_payloads(False)), WHOLE)
+    return single.unionByName(parts.withColumnRenamed("origin_id", "record_id").select(*columns).mapInArrow(bounded(_payloads(True)), WHOLE))
+
+
+def verified(records: DataFrame) -> DataFrame:
+    """Whole records without payloads (a written table); a revisit is intact only if a response of the page it refers to has its digest."""
+    page = F.regexp_extract("record_id", "^(.*):[^:]*$", 1)
+    held = records.where("warc_type = 'response' and intact").select(page.alias("refers_to"), "payload_digest").distinct().withColumn("held", F.lit(True))
+    again = records.where("refers_to is not null").join(held, ["refers_to", "payload_digest"], "left").withColumn("intact", F.col("intact") & F.coalesce("held", F.lit(False)))
+    return records.where("refers_to is null").unionByName(again.select(*records.columns))
 
 
 def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> tuple[DataFrame, DataFrame]:
@@ -293,7 +349,7 @@ def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
         F.concat(page(F.col("page_id")), F.lit(":"), F.monotonically_increasing_id().cast("string")).alias("urn"), "url", "html", "digest", F.when(again, page(F.col("first"))).alias("refers_to"))
     manifest = scratch.save(write_archives(placed, scratch.path("archives")), "manifest")
     spread = manifest.repartition(spark.sparkContext.defaultParallelism * 4, "archive")
-    return manifest, reassemble(read_segments(spread))
+    return manifest, reassemble(read_segments(spread, True), read_segments(spread, False))
 
 
 def page_of(urn):
