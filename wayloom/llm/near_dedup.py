@@ -173,9 +173,12 @@ def compared(edges: DataFrame, texts: DataFrame, k: int, threshold: tuple[int, i
         F.when(F.count("*") == 1, 1 - F.max(F.col("both") / F.col("either"))).alias("distance"))
 
 
-def _set_rows(k: int):
-    """(unit, blocks, block, component, text) to (unit, low, high, component, shingles), one row for each block pair of the document."""
-    names, kinds = ["unit", "low", "high", "component", "shingles"], [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+def _unit_sets(k: int):
+    """(unit, blocks, block, component, text) to (unit, block, lead, component, shingles).
+
+    block 0 and up: a lead, in its own block and a member of the blocks before; -1: a member of all blocks.
+    """
+    names, kinds = ["unit", "block", "lead", "component", "shingles"], [pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,8 +187,8 @@ def _set_rows(k: int):
                 rows, held = [], 0
                 for i in range(first, end):
                     raw = sets[offs[i - first] : offs[i - first + 1]].tobytes()
-                    for other in range(int(blocks[i])):
-                        rows.append((int(unit[i]), min(int(block[i]), other), max(int(block[i]), other), int(own[i]), raw))
+                    for other in range(int(blocks[i]) if block[i] < 0 else int(block[i]) + 1):
+                        rows.append((int(unit[i]), other, other == block[i], int(own[i]), raw))
                         held += len(raw)
                         if held > 8_000_000:
                             yield _packed(names, kinds, rows)
@@ -241,28 +244,35 @@ def _bridges(parts: list[int], sets: list[np.ndarray], threshold: tuple[int, int
     return [(int(part[r]), int(part[i])) for i, r in enumerate(label.tolist()) if r != i]
 
 
-def _confirm(threshold: tuple[int, int]):
-    """Rows sorted by (unit, low, high): linked components within each, one block pair in memory at a time."""
+def _confirm(threshold: tuple[int, int], chunk: int):
+    """Rows sorted by (unit, block, leads first): linked components; a block's leads and ``chunk`` members are in memory."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, parts, sets, out = None, [], [], []
+        key, out = None, []
+        leads: tuple[list, list] = ([], [])
+        members: tuple[list, list] = ([], [])
 
         def close():
-            if len(parts) > 1:
-                out.extend(_bridges(parts, sets, threshold))
+            out.extend(_bridges(leads[0] + members[0], leads[1] + members[1], threshold))
+            members[0].clear()
+            members[1].clear()
 
         for batch in batches:
-            keys = list(zip(*(batch.column(i).to_pylist() for i in range(3))))
-            own, raw = batch.column(3).to_pylist(), batch.column(4)
-            for i, k in enumerate(keys):
-                if k != key:
+            unit, block, lead, own = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            for i, raw in enumerate(batch.column(4)):
+                if (unit[i], block[i]) != key:
+                    close()
+                    key = unit[i], block[i]
+                    leads[0].clear()
+                    leads[1].clear()
+                to = leads if lead[i] else members
+                to[0].append(int(own[i]))
+                to[1].append(np.frombuffer(raw.as_buffer(), np.uint64).copy())
+                if len(members[0]) == chunk:
                     close()
-                    key, parts, sets = k, [], []
-                parts.append(own[i])
-                sets.append(np.frombuffer(raw[i].as_buffer(), np.uint64).copy())
             if len(out) > 50_000:
                 yield _packed(["a", "b"], [pa.int64()] * 2, out)
-                out = []
+                out.clear()
         close()
         yield _packed(["a", "b"], [pa.int64()] * 2, out)
 
@@ -272,11 +282,11 @@ def _confirm(threshold: tuple[int, int]):
 def _between_components(star: DataFrame, edges: DataFrame, known: DataFrame, label: DataFrame, texts: DataFrame, scratch: Scratch, k: int, threshold: tuple[int, int], block_docs: int) -> DataFrame:
     """Pairs (a, b) of components that links between members of one bucket join.
 
-    Such a bucket has a member apart from its centre.  A member whose distance to
-    the centre is more than 1 - threshold below that of every member apart can link
-    none of them (Jaccard distance obeys the triangle inequality) and is left
-    out.  All others of the bucket are compared in blocks, every pair of blocks
-    once, on whole sets.
+    In such a bucket, members outside its largest component lead: each is
+    compared with all members, ``block_docs`` leads at a time.  A member of the
+    largest component whose distance to the centre differs by more than
+    1 - threshold from that of every lead can link none of them (Jaccard
+    distance obeys the triangle inequality) and is left out.
     """
     own = lambda name, at: label.select(F.col("node").alias(at), F.col("component").alias(name))
     apart = edges.join(own("ca", "a"), "a").join(own("cb", "b"), "b").where("ca <> cb").select("a", "b")
@@ -284,24 +294,26 @@ def _between_components(star: DataFrame, edges: DataFrame, known: DataFrame, lab
     rows = star.join(keys, "key", "left_semi")
     same = rows.groupBy("key", "a").agg(F.count("*").alias("n"), F.sum(F.xxhash64("b").cast("decimal(38,0)")).alias("sum"))
     same = same.groupBy("a", "n", "sum").agg(F.min("key").alias("key")).select("key")  # buckets of other bands with the same members say nothing new
-    rows = scratch.save(rows.join(same, "key", "left_semi"), "open-rows")
+    rows = scratch.save(rows.join(same, "key", "left_semi").join(own("component", "b"), "b").select("key", "a", "b", "component"), "open-rows")
+    sizes = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("main"), F.count("*").alias("n")).where("n > 1").select("key", "main")
+    rows = scratch.save(rows.join(main, "key").select("key", "a", "b", "component", (F.col("component") != F.col("main")).alias("lead")), "open-rows")
     if rows.isEmpty():
         return rows.select("a", "b")
     unknown = rows.select("a", "b").distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
-    seen = scratch.save(known.unionByName(compared(unknown, texts, k, threshold)), "known")
-    rows = rows.join(seen.select("a", "b", "distance"), ["a", "b"], "left").join(own("ca", "a"), "a").join(own("cb", "b"), "b")
-    rows = rows.select("key", "b", "distance", F.col("cb").alias("component"), (F.col("ca") != F.col("cb")).alias("apart"))
-    least = rows.where("apart").groupBy("key").agg(F.min(F.coalesce("distance", F.lit(0.0))).alias("least"))
+    seen = scratch.save(known.unionByName(compared(unknown, texts, k, threshold)).select("a", "b", "distance"), "known")
+    rows = rows.join(seen, ["a", "b"], "left")
     slack = 1 - threshold[0] / threshold[1] + 1e-9
-    placed = rows.join(least, "key").where(F.col("apart") | F.col("distance").isNull() | (F.col("distance") >= F.col("least") - slack))
-    size = placed.groupBy("key").agg(F.ceil(F.count("*") / block_docs).cast("int").alias("blocks"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    placed = placed.join(size, "key").select(F.col("key").alias("unit"), "blocks", F.pmod(F.xxhash64("b", "key"), F.col("blocks")).cast("int").alias("block"), F.col("b").alias("doc_id"), "component")
+    bounds = rows.where("lead").groupBy("key").agg(
+        F.min(F.coalesce("distance", F.lit(0.0))).alias("least"), F.max(F.coalesce("distance", F.lit(1.0))).alias("most"), F.ceil(F.count("*") / block_docs).cast("int").alias("blocks"))
+    placed = rows.join(bounds, "key").where(F.col("lead") | F.col("distance").isNull() | F.col("distance").between(F.col("least") - slack, F.col("most") + slack))
+    block = F.when(F.col("lead"), F.pmod(F.xxhash64("b", "key"), F.col("blocks"))).otherwise(F.lit(-1)).cast("int")
     units = (
-        placed.join(texts, "doc_id").select("unit", "blocks", "block", "component", "text")
-        .mapInArrow(bounded(_set_rows(k)), "unit long, low int, high int, component long, shingles binary")
-        .repartition("unit", "low", "high").sortWithinPartitions("unit", "low", "high")
+        placed.select(F.col("key").alias("unit"), "blocks", block.alias("block"), F.col("b").alias("doc_id"), "component").join(texts, "doc_id")
+        .select("unit", "blocks", "block", "component", "text").mapInArrow(bounded(_unit_sets(k)), "unit long, block int, lead boolean, component long, shingles binary")
+        .repartition("unit", "block").sortWithinPartitions("unit", "block", F.desc("lead"))
     )
-    return units.mapInArrow(bounded(_confirm(threshold)), "a long, b long")
+    return units.mapInArrow(bounded(_confirm(threshold, block_docs)), "a long, b long")
 
 
 def near_duplicates(
@@ -318,10 +330,10 @@ def near_duplicates(
     4. Edges are confirmed exactly on whole sets, centre by centre: first each
        document with its smallest centre, then the other edges that still lie
        between different components.
-    5. Where a bucket still holds several components, its members that could
-       link across are compared in blocks of ``block_docs``, every pair of
-       blocks in one bounded unit of work, so links between members that share
-       no star edge are found too, without a cap.
+    5. Where a bucket still holds several components, its members outside the
+       largest one are compared with all that could link across, ``block_docs``
+       at a time in one bounded unit of work, so links between members that
+       share no star edge are found too, without a cap.
     6. Components of the links go back to all documents.
 
     Defined cases: null or empty text (or no word) has n_shingles 0, links with
