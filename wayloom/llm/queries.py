@@ -80,7 +80,7 @@ def op4_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = _table(spark, sf_dir, "documents")
     held = F.coalesce(_remainder(5) == 1, F.lit(False))
-    scored = pitman_yor.score(docs, docs.where(~held))
+    scored = pitman_yor.score(docs, trained=~held)
     return scored.withColumn("held_out", held).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
