@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from wayloom.llm import curriculum, decontaminate, html_consensus, language_id, near_dedup, pitman_yor, quality_rules, secrets, textvec as tv, token_counts, warc
 from wayloom.llm.automaton import anchored
+from wayloom.llm.scratch import Scratch
 from wayloom.llm.signatures import band_keys, one_permutation
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -302,26 +303,113 @@ def test_pitman_yor(spark, odd, empty):
     assert pitman_yor.score(empty, make(spark, train)).count() == 0 and pitman_yor.score(make(spark, odd), empty).count() == len(odd)
 
 
-def test_events_add_up_to_one(spark):
+def _parts(spark, train, held):
+    """(model, the one part after all sweeps, its words, its contexts) of a small corpus."""
+    scratch = Scratch(spark, "py-test")
+    rows = spark.createDataFrame([(0, t, True, False) for t in train] + [(1, t, False, True) for t in held], "doc_id long, text string, train boolean, wanted boolean")
+    model, table = pitman_yor.fitted(rows, scratch)
+    (row,) = table.where("state is not null").collect()
+    part = pitman_yor.Part(bytes(row.state), row.part)
+    for i, g in enumerate(model.totals[1:-1]):
+        part.sweep(model, g, i)
+    rare = iter(part.buf[a:b].tobytes().decode() for a, b in zip(part.starts, part.ends))
+    words = [model.words[i - pitman_yor.START - 1].as_py() if i else next(rare) for i in part.ids.tolist()]
+    return model, part, words
+
+
+def _markov(rng, n):
+    out = ["w0"]
+    while len(out) < n:
+        out.append(f"w{(int(out[-1][1:]) * 5 + rng.choice([1, 1, 1, 2, 3])) % 12}")
+    return " ".join(out)
+
+
+def test_every_context_adds_up_to_one_and_equals_the_rule(spark):
     rng = random.Random(9)
-    words = spark.createDataFrame([(f"w{i}", rng.choice([1, 1, 2, 5, 300])) for i in range(200)] + [("", 40)], "word string, c long")
-    model = pitman_yor.train(words)
-    buf, offs = tv.buffers(pa.array([r.word for r in words.collect()]))
-    c = np.array([r.c for r in words.collect()])
-    spelled = [10.0 ** s.spelling.log10(buf, offs[:-1], offs[1:]) for s in model.samples]
-    for s, p in zip(model.samples, spelled):
-        s.unseen = 1 - p.sum()
-        assert np.allclose(s.spelling.predict.reshape(-1, 32).sum(axis=1), 1)
-        t = pitman_yor.seat(c, model.d, model.strength(s) * p, np.arange(len(c), dtype=np.uint64))
-        s.tables = float(t.sum())
-        total = ((c - model.d * t) + model.strength(s) * p).sum() + model.strength(s) * s.unseen
-        assert abs(total / (model.theta + model.tokens) - 1) < 1e-9
-
-
-def test_seating_bounds():
-    c = np.array([1, 2, 10, 1000, 10**6])
-    t = pitman_yor.seat(c, 0.5, np.full(5, 2.0), np.arange(5, dtype=np.uint64))
-    assert t[0] == 1 and (t >= 1).all() and (t <= c).all()
+    known = [f"w{i}" for i in range(12)]
+    # held-out texts hold every word after every one or two known words
+    model, part, words = _parts(spark, [_markov(rng, 40) for _ in range(30)], [f"w1 {a} {b} {c}" for a in known for b in known for c in known] + known)
+    g, d = model.totals[-1], model.d
+    got = part.prices(model, g)
+    # the rule, spelt out over dictionaries
+    name = [words[i] for i in part.word]
+    two = {(w, k): (c, t) for w, k, c, t in zip(name, part.code.tolist(), part.c.tolist(), part.t2.tolist()) if k > pitman_yor.CONTEXT_WORDS}
+    one = {(words[w], k): (c, t) for w, k, c, t in zip(part.one_word.tolist(), part.one.tolist(), part.c1.tolist(), part.t1.tolist()) if k}
+    ids = dict(zip(words, part.ids.tolist()))
+
+    def price(w, code):
+        p = g.price[ids[w]]
+        up = int(pitman_yor.parent_of(np.array([code]))[0])
+        for table, k, disc in ((one, up, d[1]), (two, code if code > pitman_yor.CONTEXT_WORDS else 0, d[2])):
+            if k:
+                inside = [v for (x, y), v in table.items() if y == k]
+                c, t = table.get((w, k), (0, 0))
+                customers, tables = sum(c for c, _ in inside), sum(t for _, t in inside)
+                p = (c - disc * t + (1 + disc * tables) * p) / (1 + customers)
+        return p
+
+    for i in rng.sample(range(len(got)), 60):
+        assert abs(got[i] - price(name[i], int(part.code[i]))) < 1e-12
+    spelled = {w: p for w, p in zip(model.words.to_pylist(), g.spelling.prices(*_bytes(model.words), *g.spelling.codes(*_bytes(model.words))))}
+    unseen = (1 + d[0] * g.t[0]) / (1 + g.c[0]) * (1 - sum(spelled.values()))
+    full = [k for k, n in collections.Counter(part.code.tolist()).items() if n >= 12]
+    assert len(full) > 100
+    every = [*known, ""]
+    for code in full[:40]:
+        up = int(pitman_yor.parent_of(np.array([code]))[0])
+        left = unseen * (1 + d[1] * g.t[up]) / (1 + g.c[up])
+        left *= (1 + d[2] * g.t[code]) / (1 + g.c[code]) if code != up else 1
+        assert abs(sum(price(w, code) for w in every) + left - 1) < 1e-9
+    assert (part.t2 <= part.c).all() and (part.t1 <= part.c1).all() and np.allclose(g.spelling.predict.reshape(-1, 32).sum(axis=1), 1)
+
+
+def _bytes(col):
+    buf, offs = tv.buffers(col)
+    return buf, offs[:-1], offs[1:]
+
+
+def test_contexts_tell_order_and_lower_perplexity(spark):
+    rng = random.Random(10)
+    held = [_markov(rng, 60) for _ in range(20)]
+    train = [_markov(rng, 200) for _ in range(60)]
+    mixed = []
+    for t in held:
+        w = t.split()
+        rng.shuffle(w)
+        mixed.append(" ".join(w))
+    rows = [(i, t, "en", "a") for i, t in enumerate(held + mixed)]
+    got = {r.doc_id: r.score for r in pitman_yor.score(make(spark, rows), make(spark, [(0, t, "en", "a") for t in train])).collect()}
+    straight, shuffled = sum(got[i] for i in range(20)), sum(got[i + 20] for i in range(20))
+    model, part, words = _parts(spark, train, held)
+    root = dict(zip(words, np.log10(model.totals[-1].price[part.ids])))
+    without = sum(root[w] for t in held for w in [*t.split(), ""])
+    assert straight > shuffled + 100 and straight > without + 100
+
+
+def test_seats_are_drawn_from_the_seating_law():
+    d, strength, c, n = 0.6, 0.8, 7, 40_000
+    s = np.zeros((c + 1, c + 1))
+    s[0, 0] = 1
+    for i in range(1, c + 1):
+        for t in range(1, i + 1):
+            s[i, t] = s[i - 1, t - 1] + (i - 1 - d * t) * s[i - 1, t]
+    law = s[c] * strength ** np.arange(c + 1)
+    law /= law.sum()
+    rng = np.random.default_rng(1)
+    size, t = np.full(n, c), np.ones(n, np.int64)
+    for _ in range(8):
+        t = pitman_yor.reseat(size, t, d, np.full(n, strength), rng)
+    assert np.abs(np.bincount(t, minlength=c + 1) / n - law).max() < 0.012
+    many = np.array([1, 2, 10, 1000, 10**6])
+    t = pitman_yor.seat(many, 0.5, np.full(5, 2.0), rng)
+    assert t[0] == 1 and (t >= 1).all() and (t <= many).all()
+    less = pitman_yor.follow(many, t, np.array([0, 2, 3, 50, 10**6]), 0.5, np.full(5, 2.0), rng)
+    assert less[0] == 0 and (less[1:] >= 1).all() and (less <= [0, 2, 3, 50, 10**6]).all()
+
+
+def test_packed_arrays():
+    rows = [np.arange(5, dtype=np.uint32), np.zeros(0, np.int64), np.array([1.5, -2.0])]
+    assert all((a == b).all() and a.dtype == b.dtype for a, b in zip(rows, pitman_yor.unpack(pitman_yor.pack(*rows))))
 
 
 # --- decontamination
