@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from wayloom.llm.scratch import Scratch
+
 SPACE = r"[\x20\x09-\x0D]"
 MAX_REPEATS = 3
 FAN = 256
@@ -72,11 +74,19 @@ def position(share: Column, weight_class: Column, schedules: dict = SCHEDULES, k
 
 
 def _placed(docs: DataFrame, id_col: str, text_col: str, source_col: str, extra: tuple[str, ...], fan: int) -> DataFrame:
-    """``mix`` without positions: one row a document with weight, done (words before it in its source), whole, full and last, as they are said there."""
-    key = F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
+    """One row a document: doc_id, source, size, source_size, target, weight, done (words before it in its source), whole, full, last, extra.
+
+    The narrow rows are written once where nothing else is carried, so a text is
+    split into words once; with extra columns it is split twice.
+    """
+    scratch = Scratch(docs.sparkSession, "mix")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    name = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), F.md5(text))  # rows without an id, or with the same, are told apart by their text
+    key = F.conv(F.substring(F.md5(name), 1, 15), 16, 10).cast("long")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), key.alias("key"), *(F.col(c) for c in extra))
+    rows = rows if extra else scratch.save(rows, "sizes")
     rows = rows.withColumns({"hi": F.pmod(F.shiftright("key", 32), F.lit(fan)).cast("int"), "lo": F.pmod(F.shiftright("key", 20), F.lit(fan)).cast("int"), "group": F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))})
-    leaf = rows.groupBy("group", "hi", "lo").agg(F.sum("size").alias("words"))
+    leaf = scratch.save(rows.groupBy("group", "hi", "lo").agg(F.sum("size").alias("words")), "buckets")
     inner = W.partitionBy("group", "hi").orderBy("lo").rowsBetween(W.unboundedPreceding, W.currentRow)
     leaf = leaf.withColumn("in_hi", F.sum("words").over(inner) - F.col("words"))
     top = leaf.groupBy("group", "hi").agg(F.sum("words").alias("hi_words"))
@@ -96,53 +106,60 @@ def _placed(docs: DataFrame, id_col: str, text_col: str, source_col: str, extra:
     return placed.select("doc_id", "source", "size", "source_size", "target", "weight", done.alias("done"), whole.alias("whole"), full.alias("full"), last.alias("last"), *extra)
 
 
+def _times() -> Column:
+    """Array of (repeat, taken, position), one for each time the mix takes a document of ``_placed``."""
+    out = []
+    for i in range(MAX_REPEATS):
+        taken = F.when(F.col("full") > i, F.col("size")).when(F.col("full") == i, F.col("last")).otherwise(F.lit(0).cast("long"))
+        share = (i * F.col("source_size") + F.col("done") + taken / 2) / F.col("whole")
+        out.append(F.struct(F.lit(i).alias("repeat"), taken.alias("taken"), F.when(taken > 0, position(share, F.col("weight"))).alias("position")))
+    return F.filter(F.array(*out), lambda t: t["taken"] > 0)
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", extra: tuple[str, ...] = (), fan: int = FAN) -> DataFrame:
-    """One row a document: doc_id, size, source, source_size, target, taken, repeats, position, in training order.
+    """One row a document: doc_id, size, source, source_size, target, taken, repeats, positions, position, in training order.
 
-    Within a source, documents stand in the order of a hash of their id.  The
-    mix takes every one of them floor(target / source_size) times, and once
-    more from the start of that order until the target is spent; the last
+    Within a source, documents stand in the order of a hash of their id and
+    text.  The mix takes every one of them floor(target / source_size) times, and
+    once more from the start of that order until the target is spent; the last
     repeat of one document ends where the target does, so taken words meet the
     target up to rounding.  ``repeats`` is taken / size.
 
+    ``positions`` has a place in training (0 to 1) for each time the document is
+    taken: where the source's integrated schedule reaches the share of the target
+    that is spent at the middle of the words taken then.  So the words that any
+    stretch of training gets of a source follow its schedule.  ``position`` is
+    the first of them, null if the mix leaves the document out.
+
     Cumulative words come from two levels of hash buckets, ``fan`` wide each:
     sums by bucket, prefix sums over those, and a window inside one bucket, so
     no task holds a source.
 
     Defined cases: null text has size 0; a null source is a source of its own,
     last in order; a source of size 0 has target 0; null or repeated ids are
-    rows like others (equal hashes are ordered by size, then stay equal in
-    effect); an empty table gives an empty result.
+    rows like others (rows equal in id and text stand in any order, which has no
+    effect on the words); an empty table gives an empty result.
     """
-    placed = _placed(docs, id_col, text_col, source_col, extra, fan)
-    taken = F.least(F.col("full") * F.col("size") + F.col("last"), MAX_REPEATS * F.col("size"))
-    share = F.when(F.col("source_size") > 0, (F.col("done") + F.col("size") / 2) / F.col("source_size")).otherwise(F.lit(0.0))
-    return placed.select(
-        "doc_id", "source", "size", "source_size", "target", taken.alias("taken"),
-        F.when(F.col("size") > 0, taken / F.col("size")).otherwise(F.lit(0.0)).alias("repeats"), position(share, F.col("weight")).alias("position"), *extra,
+    rows = _placed(docs, id_col, text_col, source_col, extra, fan).withColumn("times", _times())
+    taken = F.aggregate("times", F.lit(0).cast("long"), lambda a, t: a + t["taken"])
+    positions = F.transform("times", lambda t: t["position"])
+    return rows.select(
+        "doc_id", "source", "size", "source_size", "target", taken.alias("taken"), F.when(F.col("size") > 0, taken / F.col("size")).otherwise(F.lit(0.0)).alias("repeats"),
+        positions.alias("positions"), F.get(positions, F.lit(0)).alias("position"), *extra,
     )
 
 
 def training_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", extra: tuple[str, ...] = (), fan: int = FAN) -> DataFrame:
-    """One row for each time the mix takes a document: the columns of ``mix``, and repeat (0 for the first time).
-
-    A source's words are taken in its order, and again from the start, until
-    the target is spent.  ``position`` is where the source's integrated schedule
-    reaches the share of the target that is spent at the middle of the words
-    taken here, so the words that a stretch of training gets of a source follow
-    its schedule.  ``taken`` and ``repeats`` are those of this time.
+    """One row for each time the mix takes a document, with its own repeat (0 for the first time), taken, repeats and position.
 
     Documents that the mix leaves out have one row with taken 0 and no repeat
     and no position.  Other defined cases are those of ``mix``.
     """
-    placed = _placed(docs, id_col, text_col, source_col, extra, fan)
-    taken = [F.when(F.col("full") > i, F.col("size")).when(F.col("full") == i, F.col("last")).otherwise(F.lit(0).cast("long")) for i in range(MAX_REPEATS)]
-    times = F.filter(F.array(*(F.struct(F.lit(i).alias("repeat"), x.alias("taken")) for i, x in enumerate(taken))), lambda t: t["taken"] > 0)
-    rows = placed.withColumn("time", F.explode_outer(times)).withColumns({"repeat": F.col("time.repeat"), "taken": F.coalesce("time.taken", F.lit(0).cast("long"))})
-    share = (F.col("repeat") * F.col("source_size") + F.col("done") + F.col("taken") / 2) / F.col("whole")
+    rows = _placed(docs, id_col, text_col, source_col, extra, fan).withColumn("time", F.explode_outer(_times()))
+    taken = F.coalesce("time.taken", F.lit(0).cast("long"))
     return rows.select(
-        "doc_id", "source", "size", "source_size", "target", "repeat", "taken", F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(F.lit(0.0)).alias("repeats"),
-        F.when(F.col("taken") > 0, position(share, F.col("weight"))).alias("position"), *extra,
+        "doc_id", "source", "size", "source_size", "target", F.col("time.repeat").alias("repeat"), taken.alias("taken"),
+        F.when(F.col("size") > 0, taken / F.col("size")).otherwise(F.lit(0.0)).alias("repeats"), F.col("time.position").alias("position"), *extra,
     )
 
 
@@ -152,24 +169,12 @@ def training_order(mixed: DataFrame) -> DataFrame:
     return mixed.repartitionByRange(*by).sortWithinPartitions(*by)
 
 
-def _oracle_position() -> str:
-    """The SQL text of ``position`` for DuckDB, from the same parameters."""
-    cases = []
-    for key, values in SCHEDULES.items():
-        area = [(b - a) * (u + v) / 2 for a, b, u, v in zip(KNOTS, KNOTS[1:], values, values[1:])]
-        total, done, branch = sum(area), 0.0, []
-        for a, b, u, v, piece in zip(KNOTS, KNOTS[1:], values, values[1:], area):
-            need, slope = f"greatest(share * {total}::DOUBLE - {done}::DOUBLE, 0::DOUBLE)", (v - u) / (b - a)
-            branch.append(f"WHEN share * {total}::DOUBLE <= {done + piece}::DOUBLE THEN least({a}::DOUBLE + CASE WHEN {need} <= 0 THEN 0::DOUBLE ELSE 2 * {need} / ({u}::DOUBLE + sqrt(greatest({u * u}::DOUBLE + {2 * slope}::DOUBLE * {need}, 0::DOUBLE))) END, {KNOTS[-1]}::DOUBLE)")
-            done += piece
-        cases.append(f"WHEN weight = {key} THEN CASE {' '.join(branch)} ELSE {KNOTS[-1]}::DOUBLE END")
-    return f"CASE {' '.join(cases)} ELSE share END"
-
-
-ORACLE = rf"""
+#: Positions are derived another way than above: repeats as rows, cumulative words by one window a source,
+#: and the inverses of 1.5 t - t^2 / 2, t and t / 2 + t^2 / 2 in closed form.
+ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS key FROM documents),
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS key FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM s),
 u AS (
@@ -180,11 +185,13 @@ l AS (SELECT *, (all_size - 3 * before_size)::DOUBLE / (all_weight - before_weig
 f AS (SELECT *, (SELECT arg_min(level, before_weight) FROM l WHERE level * weight <= 3 * source_size) AS chosen FROM l),
 t AS (SELECT source, source_size, weight, CASE WHEN all_size = 0 THEN 0::DOUBLE ELSE coalesce(least(chosen * weight, (3 * source_size)::DOUBLE), (3 * source_size)::DOUBLE) END AS target FROM f),
 c AS (
-  SELECT d.doc_id, d.source, d.size, t.source_size, t.weight, t.target, round(t.target)::BIGINT AS whole,
-    sum(d.size) OVER (PARTITION BY d.source ORDER BY (key >> 32) % 256, (key >> 20) % 256, key, d.doc_id NULLS LAST, d.size ROWS UNBOUNDED PRECEDING) - d.size AS done
+  SELECT d.doc_id, d.source, d.size, t.source_size, t.weight, t.target, round(t.target)::BIGINT AS whole, unnest([0, 1, 2]) AS repeat, (key >> 32) % 256 AS hi, (key >> 20) % 256 AS lo, key
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-x AS (SELECT *, CASE WHEN source_size > 0 THEN whole // source_size ELSE 0 END AS fulls, CASE WHEN source_size > 0 THEN (done + size / 2) / source_size ELSE 0 END::DOUBLE AS share FROM c)
-SELECT doc_id, size, source, source_size::BIGINT AS source_size, target,
-  least(fulls * size + greatest(0, least(whole - fulls * source_size - done, size)), 3 * size)::BIGINT AS taken, round({_oracle_position()}, 6) AS position
-FROM x
+x AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY repeat, hi, lo, key, doc_id NULLS LAST, size ROWS UNBOUNDED PRECEDING) - size AS before FROM c),
+y AS (SELECT *, greatest(0, least(whole - before, size))::BIGINT AS used FROM x),
+z AS (SELECT *, CASE WHEN used > 0 THEN (before + used / 2::DOUBLE) / whole END AS share FROM y),
+p AS (SELECT *, CASE weight WHEN 1 THEN 1.5 - sqrt(2.25 - 2 * share) WHEN 2 THEN share ELSE sqrt(0.25 + 2 * share) - 0.5 END AS place FROM z)
+SELECT doc_id, any_value(size) AS size, any_value(source) AS source, any_value(source_size) AS source_size, any_value(target) AS target, sum(used)::BIGINT AS taken,
+  round(max(place) FILTER (repeat = 0), 6) AS position, round(max(place) FILTER (repeat = 1), 6) AS position_2, round(max(place) FILTER (repeat = 2), 6) AS position_3
+FROM p GROUP BY doc_id
 """

@@ -36,7 +36,9 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_mix_sources", curriculum.ORACLE)
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = curriculum.mix(_table(spark, sf_dir, "documents"))
-    return curriculum.training_order(mixed).select("doc_id", "size", "source", "source_size", "target", "taken", F.round("position", 6).alias("position"))
+    place = lambda i: F.round(F.get("positions", F.lit(i)), 6)
+    return curriculum.training_order(mixed).select(
+        "doc_id", "size", "source", "source_size", "target", "taken", place(0).alias("position"), place(1).alias("position_2"), place(2).alias("position_3"))
 
 
 @query("op5_near_dedup")
