@@ -11,8 +11,9 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -20,8 +21,9 @@ from pyspark.sql import DataFrame, functions as F
 from wayloom.llm.memory import bounded
 from wayloom.llm.scratch import Scratch
 
-RAW = "script|style|noscript|template|textarea|title|iframe|svg|math|object"
-TOKEN = re.compile(rf"<!--.*?(?:-->|$)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
+RAW = frozenset("script style noscript template textarea title iframe svg".split())
+NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+EDGE = re.compile(r"""[>"']""")
 ATTR = re.compile(r"""\b(class|id|role|hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
@@ -29,28 +31,67 @@ BLOCK = frozenset(
     "head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 CONTAINER = frozenset("article body center div main section td".split())
+#: Winning paths of all hosts are broadcast up to this size, beyond it they are joined by shuffle.
+BROADCAST_BYTES = 8_000_000
 #: Opening one of these ends an open element of the second set, if no container lies between.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-DROP_TAGS = frozenset("aside button dialog footer form header input label menu nav select".split())
+DROP_TAGS = frozenset("aside button dialog footer form input label menu nav select".split())
 DROP_NAMES = frozenset(
     "ad ads adv advert advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies "
     "copyright disclaimer discussion disqus footer gdpr header masthead menu menubar modal nav navbar navigation newsletter notice notification "
     "pager pagination popup promo promoted promotion recommended related replies respond share sharing sidebar signup skip social sponsor sponsored "
     "subscribe subscription toolbar".split()
 )
+#: Parts of a class name that say nothing about what it holds.
+PLACE_NAMES = frozenset(
+    "area bar block body bottom box button buttons container fixed form global group inner item items left links list main outer page panel primary right row section secondary "
+    "site slot sticky top unit widget wrap wrapper".split()
+)
 DROP_ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search".split())
 
 
-@dataclass
+@dataclass(slots=True, eq=False)
 class Node:
     tag: str
-    path: str
+    name: str  # tag and classes; inline elements have none
+    key: int  # of the path; equal paths have equal keys within a process
+    above: "Node | None"
     dropped: bool
     container: "Node | None"
     link: bool
+    up: "Node | None" = None
     score: float = 0.0
     order: int = 0
-    blocks: list = field(default_factory=list)
+    first: int = 0  # blocks of its subtree: first, and end
+    end: int = 0
+    loose: float = 0.0  # words outside links that stand in it and in no inner container
+    titled: bool = False  # a heading h1 among them
+    crowded: int = 0  # inner containers with a text of their own, but for those that hold the title
+
+    @property
+    def path(self) -> str:
+        names, at = [], self
+        while at is not None:
+            names.append(at.name)
+            at = at.above
+        return SEP.join(x for x in reversed(names) if x)
+
+
+SEP = ">"
+
+
+def path_key(path: str) -> int:
+    key = 0
+    for name in path.split(SEP) if path else ():
+        key = hash((key, name))
+    return key
+
+
+def boilerplate(name: str) -> bool:
+    """Whether a class or id names furniture: a listed word, alone or with words of place only ("site-header", not "entry-header")."""
+    parts = [x for x in re.split(r"[^a-z]+", name) if x]
+    telling = [x for x in parts if x not in PLACE_NAMES]
+    return bool(telling) and DROP_NAMES.issuperset(telling)
 
 
 def _describe(tag: str, attrs: str) -> tuple[str, bool]:
@@ -62,7 +103,7 @@ def _describe(tag: str, attrs: str) -> tuple[str, bool]:
             if key == "class" and value:
                 name += "".join("." + c for c in sorted({re.sub(r"\d+", "", c).strip("-_") for c in value.split()} - {""}))
             if key in ("class", "id"):
-                drop = drop or not DROP_NAMES.isdisjoint(re.split(r"[^a-z]+", value))
+                drop = drop or any(map(boilerplate, value.split()))
             elif key == "role":
                 drop = drop or value in DROP_ROLES
             elif key == "hidden" or "display:none" in value.replace(" ", ""):
@@ -70,31 +111,76 @@ def _describe(tag: str, attrs: str) -> tuple[str, bool]:
     return name, drop
 
 
-def containers(page: str) -> list[Node]:
-    """The page's containers in order; each has its score and its text blocks (position, text)."""
-    root = Node("", "", False, None, False)
+def scan(page: str) -> Iterator[tuple[str, str, str, bool]]:
+    """(text before, tag, attributes, closing) of all tags in order; the last has no tag.  One pass: no part is read more than twice."""
+    at, text_from, quotes_end = 0, 0, True
+    last = page.rfind(">")
+    while True:
+        lt = page.find("<", at)
+        if lt < 0 or (lt > last and not page.startswith("<!--", lt)):
+            break
+        if page.startswith("<!--", lt):
+            end = page.find("-->", lt + 4)
+            yield page[text_from:lt], "", "", False
+            at = text_from = len(page) if end < 0 else end + 3
+            continue
+        if page[lt + 1 : lt + 2] in ("!", "?"):
+            yield page[text_from:lt], "", "", False
+            at = text_from = page.find(">", lt) + 1
+            continue
+        m = NAME.match(page, lt)
+        if not m:
+            at = lt + 1
+            continue
+        i = m.end()
+        while quotes_end:  # the first > outside quoted values
+            edge = EDGE.search(page, i)
+            if not edge:
+                quotes_end = False  # no tag after this one has such an end either, unless its quotes are read another way
+                break
+            i = edge.start()
+            if edge[0] == ">":
+                break
+            close = page.find(edge[0], i + 1) if page[m.end() : i].rstrip()[-1:] == "=" and i - m.end() < 1 << 16 else -1
+            i = close + 1 if close >= 0 else i + 1
+        if not quotes_end:
+            i = page.find(">", m.end())
+        tag, attrs = m[2].lower(), page[m.end() : i]
+        yield page[text_from:lt], tag, attrs, bool(m[1])
+        at = text_from = i + 1
+        if tag in RAW and not m[1] and not attrs.rstrip().endswith("/"):
+            end = RAW_END[tag].search(page, at)
+            at = text_from = end.end() if end else len(page)
+            yield "", tag, "", True
+    yield page[text_from:], "", "", False
+
+
+RAW_END = {tag: re.compile(rf"</{tag}\b[^>]*>", re.I) for tag in RAW}
+
+
+def containers(page: str) -> tuple[list[Node], list[str]]:
+    """The page's containers in order, and its text blocks; a container's blocks are those from ``first`` to ``end``."""
+    root = Node("", "", 0, None, False, None, False)
     root.container = root
-    stack, found = [root], [root]
+    stack, found, blocks = [root], [root], []
+    opened: Counter[str] = Counter()
     parts: list[str] = []
-    words = links = block_no = 0
+    words = links = 0
+    articles = 0
 
     def flush() -> None:
-        nonlocal words, links, block_no
+        nonlocal words, links
         text = " ".join(entities.unescape("".join(parts)).split())
         parts.clear()
-        holder = stack[-1].container
         if text and not stack[-1].dropped:
-            block_no += 1
-            gain, at = words - 2.0 * links, holder
-            share = 1.0
+            holder = stack[-1].container
+            blocks.append(text)
+            gain, share, at = words - 2.0 * links, 1.0, holder
+            holder.loose += words - links
+            holder.titled |= opened["h1"] > 0
             while at is not None and share > 0.2:
                 at.score += gain * share
-                at = at.up
-                share /= 2
-            at = holder
-            while at is not None:
-                at.blocks.append((block_no, text))
-                at = at.up
+                at, share = at.up, share / 2
         words = links = 0
 
     def text(piece: str) -> None:
@@ -106,26 +192,30 @@ def containers(page: str) -> list[Node]:
             links += n if stack[-1].link else 0
 
     def close_to(i: int) -> None:
+        nonlocal articles
         if any(n.tag in BLOCK for n in stack[i:]):
             flush()
+        for n in stack[i:]:
+            opened[n.tag] -= 1
+            articles -= n.tag in ("article", "main")
+            if n.container is n:
+                n.end = len(blocks)
+                n.up.crowded += n.end > n.first and not n.titled
+                n.up.titled |= n.titled
         del stack[i:]
 
-    root.up = None
-    last = 0
-    for m in TOKEN.finditer(page):
-        text(page[last : m.start()])
-        last = m.end()
-        tag = (m[3] or "").lower()
-        if not tag:
+    for piece, tag, attrs, closing in scan(page):
+        text(piece)
+        if not tag or tag in RAW:
             continue
-        if m[2]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    close_to(i)
-                    break
-            else:
-                if tag == "p":
-                    flush()
+        if closing:
+            if opened[tag]:
+                i = len(stack) - 1
+                while stack[i].tag != tag:
+                    i -= 1
+                close_to(i)
+            elif tag == "p":
+                flush()
             continue
         if tag == "br":
             text(" ")
@@ -134,44 +224,69 @@ def containers(page: str) -> list[Node]:
             if tag == "hr":
                 flush()
             continue
-        ends = CLOSES.get(tag, {"p"} if tag in BLOCK else ())
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in ends or (stack[i].tag == "p" and tag in BLOCK):
-                close_to(i)
-                break
-            if stack[i].tag in CONTAINER or stack[i].tag in ("ul", "ol", "table", "dl"):
-                break
+        ends = CLOSES.get(tag, frozenset())
+        if any(opened[x] for x in ends) or (tag in BLOCK and opened["p"]):
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i].tag in ends or (stack[i].tag == "p" and tag in BLOCK):
+                    close_to(i)
+                    break
+                if stack[i].tag in CONTAINER or stack[i].tag in ("ul", "ol", "table", "dl"):
+                    break
         if tag in BLOCK:
             flush()
         above = stack[-1]
-        name, drop = _describe(tag, m[4])
-        node = Node(tag, f"{above.path}>{name}" if tag in BLOCK else above.path, above.dropped or (drop and tag not in ("html", "body")), above.container, above.link or tag == "a")
+        name, drop = _describe(tag, attrs)
+        drop = (drop and tag not in ("html", "body", "article", "main")) or (tag == "header" and not articles)  # an article's own header has its title
+        name = name.replace(SEP, "") if tag in BLOCK else ""
+        node = Node(tag, name, hash((above.key, name)) if name else above.key, above, above.dropped or drop, above.container, above.link or tag == "a")
         if tag in CONTAINER and not node.dropped:
-            node.up, node.container, node.order = above.container, node, len(found)
+            node.up, node.container, node.order, node.first = above.container, node, len(found), len(blocks)
             found.append(node)
-        if not m[4].rstrip().endswith("/"):
+        if not attrs.rstrip().endswith("/"):
             stack.append(node)
-    text(page[last:])
+            opened[tag] += 1
+            articles += tag in ("article", "main")
+        elif node.container is node:
+            node.end = node.first
     flush()
-    return found
+    close_to(1)
+    root.end = len(blocks)
+    return found, blocks
 
 
 def best(found: list[Node]) -> Node:
-    return max(found, key=lambda n: (n.score, -n.order))
+    """The container with the best score, or the one around it that is the same article: an ``article``, or one
+    whose only container with text it is and that adds the title."""
+    top = max(found, key=lambda n: (n.score, -n.order))
+    at = around = top
+    while at.up is not None:
+        at = at.up
+        if at.tag == "article" and at.score > 0:
+            around = at
+    if around is not top:
+        return around
+    while top.up is not None and top.up.crowded == 1 and top.up.titled and top.up.loose < top.loose:
+        top = top.up
+    return top
 
 
-def extract(found: list[Node], path: str | None) -> str:
+def extract(page: tuple[list[Node], list[str]], path: str | None) -> str:
     """Blocks of all containers with the path, in page order, each once; without one, of the best container."""
-    chosen = [n for n in found if n.path == path and n.blocks] if path is not None else []
-    blocks = dict(b for n in (chosen or [best(found)]) for b in n.blocks)
-    return "\n\n".join(blocks[k] for k in sorted(blocks))
+    found, blocks = page
+    key = path_key(path) if path is not None else None
+    chosen = [n for n in found if n.key == key and n.end > n.first] if path is not None else []
+    out, at = [], 0
+    for n in chosen or [best(found)]:  # in page order, one may lie in another
+        out += blocks[max(at, n.first) : n.end]
+        at = max(at, n.end)
+    return "\n\n".join(out)
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         hosts, out = batch.column(0), []
         for i, page in enumerate(batch.column(1)):
-            top = best(containers(page.as_py() or ""))
+            top = best(containers(page.as_py() or "")[0])
             if top.score > 0:
                 out.append((i, top.path, top.score))
         rows, paths, scores = zip(*out) if out else ((), (), ())
@@ -207,7 +322,9 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """
     scratch = Scratch(pages.sparkSession, "html")
     won = scratch.save(host_paths(pages, url_col, html_col).select("host", "path"), "paths")
+    size = won.agg(F.coalesce(F.sum(F.octet_length("host") + F.octet_length("path")), F.lit(0)).alias("n")).first().n
+    won = F.broadcast(won) if size <= BROADCAST_BYTES else won.hint("merge")
     kind = pages.schema[id_col].dataType.simpleString()
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host(F.col(url_col)).alias("host"))
-    texts = rows.join(won.hint("merge"), "host", "left").select("page_id", "url", "html", "path").mapInArrow(bounded(_texts), f"page_id {kind}, url string, text string")
+    texts = rows.join(won, "host", "left").select("page_id", "url", "html", "path").mapInArrow(bounded(_texts), f"page_id {kind}, url string, text string")
     return texts.withColumn("n_chars", F.length("text").cast("long"))
