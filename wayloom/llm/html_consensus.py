@@ -265,7 +265,7 @@ def best(found: list[Node]) -> Node:
             around = at
     if around is not top:
         return around
-    while top.up is not None and top.up.crowded == 1 and top.up.titled and top.up.loose < top.loose:
+    while not top.titled and top.up is not None and top.up.titled and top.up.crowded == 1 and top.up.loose < top.loose:
         top = top.up
     return top
 
