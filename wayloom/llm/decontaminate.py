@@ -1,7 +1,7 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. Words hash to ``VOCAB`` features; documents are kept as feature sequences in a
-   written table, so text is read once.
+1. Documents are kept as sequences of 32 bit word hashes in a written table, so
+   text is read once; the upper half of a hash is one of ``VOCAB`` features.
 2. Passage frequencies give IDF.  A randomised eigendecomposition of A'A (A: the
    TF-IDF matrix of all passages) with one pass, B = A'(A W): every task adds up
    its share of B, blocks of rows are summed after one shuffle, and the driver
@@ -37,27 +37,28 @@ COSINE = 0.64
 LCS_SHARE, ANSWER_SHARE, ANSWER_WORDS = 0.6, 0.5, 8
 ITEM_BLOCK = 4096  # benchmark items compared at a time
 ROW_BLOCKS = 64
+MATRIX = 4_000_000  # cosines held at a time
 
 
 def features(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Feature numbers of all words of lower-cased texts, with bounds by text."""
+    """32 bit hashes of all words of lower-cased texts, with bounds by text; the upper 16 bits are a word's feature number."""
     buf = tv.LOWER[buf]
     starts, ends, woffs = tv.words(buf, offs)
-    return (tv.word_hashes(buf, starts, ends) >> np.uint64(48)).astype(np.uint16), woffs
+    return (tv.word_hashes(buf, starts, ends) >> np.uint64(32)).astype(np.uint32), woffs
 
 
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, end, buf, offs in tv.slices(batch.column(1)):
             f, woffs = features(buf, offs)
-            data = pa.BinaryArray.from_buffers(pa.binary(), end - first, [None, pa.py_buffer((2 * woffs).astype(np.int32)), pa.py_buffer(f)])
+            data = pa.BinaryArray.from_buffers(pa.binary(), end - first, [None, pa.py_buffer((4 * woffs).astype(np.int32)), pa.py_buffer(f)])
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), data], ["doc_id", "feats"])
 
 
 def _sequences(col: pa.Array, limit: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, features, bounds by row) of runs of whole documents."""
-    offs = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64) // 2
-    data = np.frombuffer(col.buffers()[2] or b"", np.uint16)
+    """(first row, end row, word hashes, bounds by row) of runs of whole documents."""
+    offs = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64) // 4
+    data = np.frombuffer(col.buffers()[2] or b"", np.uint32)
     at = 0
     while at < len(col):
         end = max(at + 1, int(np.searchsorted(offs, offs[at] + limit, side="right")) - 1)
@@ -92,7 +93,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, f, offs in _sequences(batch.column(0)):
             starts = _passages(offs, PASSAGE)
             passages += len(starts) - 1
-            key = np.repeat(np.arange(len(starts) - 1, dtype=np.int64), np.diff(starts)) * VOCAB + f
+            key = np.repeat(np.arange(len(starts) - 1, dtype=np.int64), np.diff(starts)) * VOCAB + (f >> 16)
             key.sort()
             key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
             df += np.bincount(key % VOCAB, minlength=VOCAB)
@@ -100,17 +101,23 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(df[at], passages))], ["feature", "n"])
 
 
-def _project(test: np.ndarray, idf: np.ndarray, blocks: int):
+def _test_matrix(rank: int, seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).standard_normal((VOCAB, rank), dtype=np.float32)
+
+
+def _project(shared, rank: int, seed: int, blocks: int):
     """Each task's share of A'(A test), as rows (block of features, float32 bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scaled, out = (test * idf[:, None]).astype(np.float32), np.zeros_like(test, dtype=np.float32)
+        idf = shared.value
+        scaled, out = _test_matrix(rank, seed), np.zeros((VOCAB, rank), np.float32)
+        scaled *= idf[:, None].astype(np.float32)
         for batch in batches:
             for _, _, f, offs in _sequences(batch.column(0), 1 << 19):
                 if not len(f):
                     continue
                 starts = _passages(offs, PASSAGE)
-                key = np.repeat(np.arange(len(starts) - 1, dtype=np.int64), np.diff(starts)) * VOCAB + f
+                key = np.repeat(np.arange(len(starts) - 1, dtype=np.int64), np.diff(starts)) * VOCAB + (f >> 16)
                 key.sort()
                 key = key[np.concatenate([[True], key[1:] != key[:-1]])]  # a feature counts once a passage
                 passage, g = key // VOCAB, (key % VOCAB).astype(np.uint16)
@@ -121,7 +128,7 @@ def _project(test: np.ndarray, idf: np.ndarray, blocks: int):
                 g, passage = g[order], passage[order]
                 cut = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
                 out[g[cut]] += _sum_runs(rows, passage, cut, np.diff(np.append(cut, len(g))), 24)
-        out *= idf[:, None]
+        out *= idf[:, None].astype(np.float32)
         parts = np.split(out, blocks)
         yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["block", "part"])
 
@@ -147,11 +154,15 @@ def latent_space(encoded: DataFrame, rank: int = RANK, seed: int = 7) -> tuple[n
         return np.zeros((VOCAB, rank), np.float32), np.zeros(rank)
     idf = np.zeros(VOCAB)
     idf[feature[feature >= 0]] = np.log((1 + n) / (1 + count[feature >= 0])) + 0.01
-    test = np.random.default_rng(seed).standard_normal((VOCAB, rank), dtype=np.float32)
+    # every task emits VOCAB x rank sums, so the tasks are as many as the cluster keeps busy, not as many as the input has splits
+    sc, feats = encoded.sparkSession.sparkContext, encoded.select("feats")
+    splits = feats.rdd.getNumPartitions()
+    tasks = min(splits, max(4 * sc.defaultParallelism, int(8 * splits**0.5)))
     parts = (
-        encoded.select("feats").mapInArrow(bounded(_project(test, idf, ROW_BLOCKS)), "block int, part binary")
+        feats.coalesce(tasks).mapInArrow(bounded(_project(sc.broadcast(idf), rank, seed, ROW_BLOCKS)), "block int, part binary")
         .repartition(ROW_BLOCKS, "block").mapInArrow(bounded(_add), "block int, part binary").toArrow()
     )
+    test = _test_matrix(rank, seed)
     b = np.zeros((VOCAB, rank), np.float32)
     size = VOCAB // ROW_BLOCKS
     for block, part in zip(parts["block"].to_pylist(), parts["part"]):
@@ -197,29 +208,37 @@ class _Grams:
 
     def __init__(self, items: list[np.ndarray]):
         self.size = np.array([len(x) for x in items], np.int64)
-        need, keys, own = [], [], []
+        self.need = np.zeros(len(items), np.int64)
+        keys, own = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        self.words = False
         for i, x in enumerate(items):
             pairs = 2 * _least(len(x)) - len(x) - 1
-            need.append(pairs if pairs > 0 else _least(len(x)))
-            keys.append(self._pairs(x) if pairs > 0 else x.astype(np.int64) + (1 << 32))
+            self.need[i] = pairs if pairs > 0 else _least(len(x))
+            self.words |= pairs <= 0
+            keys.append(self._pairs(x) if pairs > 0 else self._alone(x))
             own.append(np.full(len(keys[-1]), i, np.int64))
-        self.need = np.array(need, np.int64)
-        both = np.concatenate([np.zeros(0, np.int64), *keys]) * max(1, len(items)) + np.concatenate([np.zeros(0, np.int64), *own])
-        both, self.times = np.unique(both, return_counts=True)
-        self.item = both % max(1, len(items))
-        self.keys, first = np.unique(both // max(1, len(items)), return_index=True)
-        self.first = np.append(first, len(both))
+        keys, own = np.concatenate(keys), np.concatenate(own)
+        order = np.lexsort((own, keys))
+        keys, own = keys[order], own[order]
+        cut = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (own[1:] != own[:-1])])) if len(keys) else np.zeros(0, np.int64)
+        self.times = np.diff(np.append(cut, len(keys)))
+        self.item = own[cut]
+        self.keys, first = np.unique(keys[cut], return_index=True)
+        self.first = np.append(first, len(cut))
         self.seen = np.zeros(1 << 22, bool)
         self.seen[self._slot(self.keys)] = True
-        self.words = bool(len(self.keys)) and int(self.keys[-1]) >= 1 << 32
 
     @staticmethod
     def _pairs(f: np.ndarray) -> np.ndarray:
-        return f[:-1].astype(np.int64) << 16 | f[1:]
+        return f[:-1].astype(np.uint64) << np.uint64(32) | f[1:]
+
+    @staticmethod
+    def _alone(f: np.ndarray) -> np.ndarray:
+        return ~(f.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
     @staticmethod
     def _slot(keys: np.ndarray) -> np.ndarray:
-        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)
+        return (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)
 
     def _hits(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(position, number of the key) of the keys that some item has."""
@@ -236,7 +255,7 @@ class _Grams:
         inside = doc_of[at] == doc_of[at + 1]
         at, which = at[inside], which[inside]
         if self.words:
-            more = self._hits(f.astype(np.int64) + (1 << 32))
+            more = self._hits(self._alone(f))
             at, which = np.concatenate([at, more[0]]), np.concatenate([which, more[1]])
         count = self.first[which + 1] - self.first[which]
         row = np.repeat(self.first[which] - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
@@ -258,16 +277,24 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-12)
 
 
-def _search(space: np.ndarray, ids: list[int], items: list[np.ndarray], cosine: float):
+def _close(windows: np.ndarray, target: np.ndarray, cosine: float) -> Iterator[tuple[int, int]]:
+    """(window, item) of pairs at least that close; a bounded part of the matrix at a time, however long a text is."""
+    rows = max(1, MATRIX // max(1, len(target)))
+    for low in range(0, len(windows), rows):
+        for at, which in zip(*(x.tolist() for x in np.nonzero(windows[low : low + rows] @ target.T >= cosine))):
+            yield low + at, which
+
+
+def _search(shared, ids: list[int], items: list[np.ndarray], cosine: float):
     groups, plain = [], [x.tolist() for x in items]
-    grams = _Grams(items)
+    grams, space = _Grams(items), shared.value
     widest = max(map(len, plain), default=0) + STEP
     for w in WINDOWS:
         own = [i for i, x in enumerate(items) if len(x) and (len(x) < 2 * WINDOWS[0]) == (w == WINDOWS[0])]
         # of parts as long as each other, one at least holds the share of the whole
         parts = [(i, part) for i in own for part in np.array_split(items[i], max(1, len(items[i]) // WINDOWS[1]))]
         if own:
-            groups.append((w // STEP, np.array([i for i, _ in parts]), _unit(np.stack([space[part].sum(axis=0) for _, part in parts]))))
+            groups.append((w // STEP, np.array([i for i, _ in parts]), _unit(np.stack([space[part >> 16].sum(axis=0) for _, part in parts]))))
 
     def confirmed(seq: np.ndarray, item: np.ndarray, low: int, high: int) -> tuple[float, float]:
         part = seq[low:high]
@@ -278,13 +305,14 @@ def _search(space: np.ndarray, ids: list[int], items: list[np.ndarray], cosine:
         return share, lcs(answer.tolist(), part) / len(answer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        space = shared.value
         for batch in batches:
             doc_ids, out = batch.column(0), []
             for first, _, f, offs in _sequences(batch.column(1), 1 << 16):
                 if not len(f):
                     continue
                 starts = _passages(offs, STEP)
-                blocks = _sum_runs(space, f, starts[:-1], np.diff(starts), STEP)
+                blocks = _sum_runs(space, f >> 16, starts[:-1], np.diff(starts), STEP)
                 doc = np.searchsorted(offs, starts[:-1], side="right") - 1
                 best: dict[tuple[int, int], tuple[bool, float, float]] = {}
 
@@ -298,10 +326,9 @@ def _search(space: np.ndarray, ids: list[int], items: list[np.ndarray], cosine:
                     for j in range(1, wide):
                         same = doc[j:] == doc[:-j]
                         window[:-j][same] += blocks[j:][same]
-                    close = _unit(window) @ target.T >= cosine
                     reach: dict[tuple[int, int], int] = {}
                     seen, near = -1, set()
-                    for at, which in zip(*(x.tolist() for x in np.nonzero(close))):
+                    for at, which in _close(_unit(window), target, cosine):
                         d, i = int(doc[at]), int(own[which])
                         low, high = int(offs[d]), int(offs[d + 1])
                         start, end = int(starts[at]), int(starts[at]) + wide * STEP
@@ -344,12 +371,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     kind = docs.schema[id_col].dataType.simpleString()
     encoded = scratch.save(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(bounded(_encode), f"doc_id {kind}, feats binary"), "features")
     space, _ = latent_space(encoded)
+    shared = docs.sparkSession.sparkContext.broadcast(space)
     schema = f"doc_id {kind}, item_id long, lcs_share double, answer_share double"
     found, block = [], []
 
     def flush():
         seqs = [features(*tv.buffers(pa.array([t or ""])))[0] for _, t in block]
-        found.append(encoded.mapInArrow(bounded(_search(space, [i for i, _ in block], seqs, cosine)), schema))
+        found.append(encoded.mapInArrow(bounded(_search(shared, [i for i, _ in block], seqs, cosine)), schema))
         block.clear()
 
     for row in benchmark.select(F.col("item_id").cast("long"), "text").where("item_id is not null").toLocalIterator():
