@@ -81,8 +81,8 @@ def test_spaced_is_greedy(spark):
 def test_european_and_american_days(spark):
     trips = spark.createDataFrame([(1, 7, 20.0, 1400.0, dt.date(2026, 7, 27))], "req_id long, driver long, hours double, km double, start date")
     none = spark.createDataFrame([], "driver long, day date, hours double")
-    eu = P.plan_days(trips, none, european=P.Ec561()).orderBy("day").collect()
-    us = P.plan_days(trips, none, fmcsa=P.Fmcsa()).orderBy("day").collect()
+    eu = P.plan_truck(trips, none).orderBy("day").collect()
+    us = P.plan_fmcsa(trips, none).orderBy("day").collect()
     assert [r.driving_hours for r in eu] == [9.0, 9.0, 2.0] and [r.driving_hours for r in us] == [11.0, 9.0]
     assert eu[-1].end_km == 1400.0 and eu[0].rest_kind == "daily_regular" and eu[-1].rest_kind is None
 
@@ -204,7 +204,7 @@ def test_plugins(spark):
 def test_reduced_rests_run_out(spark):
     trips = spark.createDataFrame([(1, 7, 50.0, 3500.0, dt.date(2026, 7, 27))], "req_id long, driver long, hours double, km double, start date")
     none = spark.createDataFrame([], "driver long, day date, hours double")
-    got = [r.rest_kind for r in P.plan_days(trips, none, european=P.Ec561(prefer_reduced=True)).orderBy("day").collect()]
+    got = [r.rest_kind for r in P.plan_truck(trips, none, P.Ec561(prefer_reduced=True)).orderBy("day").collect()]
     assert got == ["daily_reduced"] * 3 + ["daily_regular", "daily_regular", None]
 
 
@@ -215,11 +215,81 @@ def test_debts_are_repaid_oldest_first(spark):
     assert got == {dt.date(2026, 7, 10): dt.date(2026, 7, 14), dt.date(2026, 7, 24): None}
 
 
-def test_hut_days():
-    probes = [(k / 2, 1 if k < 60 else 2, 20.0 if k < 60 else 36.0, k >= 60, 100.0, False) for k in range(120)]
-    days = hiking.fold_days(60.0, probes, 40.0)
-    assert [(d[2], d[3]) for d in days] == [(36.0, 2), (60.0, None)] and hiking.fold_days(0.0, [], 40.0) == []
-    assert [d[4] for d in hiking.fold_days(90.0, [], 40.0)] == [True, True, False]
+def _walk(samples, total, huts, most, rules):
+    """A hike planned point by point: samples (km, lat, lon), huts (id, lat, lon, network, rejected)."""
+
+    def m(a, b):
+        x = [math.radians(v) for v in (*a, *b)]
+        h = math.sin((x[2] - x[0]) / 2) ** 2 + math.cos(x[0]) * math.cos(x[2]) * math.sin((x[3] - x[1]) / 2) ** 2
+        return 2 * 6371008.8 * math.asin(math.sqrt(h))
+
+    def at(km):
+        for p, q in zip(samples, samples[1:]):
+            if p[0] <= km < q[0] or q is samples[-1]:
+                t = (km - p[0]) / (q[0] - p[0])
+                return p[1] + (q[1] - p[1]) * t, p[2] + (q[2] - p[2]) * t
+
+    def choice(point):
+        near = [(h[4], not (h[3] and d <= rules.prefer_network_m), h[3], round(d, 3), h) for h in huts for d in [m(point, h[1:3])] if d <= (rules.network_m if h[3] else rules.cabin_m)]
+        return min(near, key=lambda x: (*x[:4], x[4][0]), default=None)
+
+    start, out = 0.0, []
+    while start < total - 0.01:
+        end = min(start + min(max(most, 1), total - start), total)
+        hut, gap, stop = None, False, total
+        if end < total - 0.01:
+            best, k = None, 0
+            while (km := start + 8 + 0.5 * k) <= end:
+                k += 1
+                c = choice(at(km))
+                if c is None or c[3] > rules.near_m:
+                    continue
+                h = c[4]
+                inside = [(round(m(s[1:], h[1:3]), 3), s[0]) for s in samples if start <= s[0] <= end]
+                off, hut_km = min(inside) if inside else (round(m(at(km), h[1:3]), 3), km)
+                if hut_km - start < 5:
+                    continue
+                if best is None:
+                    take = True
+                elif h[3] != best[2]:
+                    take = h[3]
+                elif abs(off - best[1]) > 500:
+                    take = off < best[1]
+                else:
+                    take = hut_km > best[0] or (abs(hut_km - best[0]) < 1 and off < best[1])
+                if take:
+                    best = (hut_km, off, h[3], h)
+            if best:
+                stop, hut, gap = best[0], best[3][0], best[1] > rules.near_m or best[3][4]
+            else:
+                c = choice(at(end))
+                stop, hut, gap = end, c and c[4][0], c is None or c[3] > rules.near_m or c[4][4]
+        stop = min(max(stop, start + 0.01), total)
+        out.append((len(out) + 1, round(start, 3), round(stop, 3), hut, gap))
+        start = stop
+    return out
+
+
+def test_hut_days_equal_a_walk(spark):
+    rng = random.Random(4)
+    coords, huts, samples = [], [], {}
+    for i in range(40):
+        huts.append((i, 60 + rng.random() * 1.5, 10 + rng.random() * 0.3, rng.random() < 0.4, rng.random() < 0.2))
+    for req in range(6):
+        lat, lon = 60.0, 10.15
+        for pos in range(30 if req else 1):
+            coords.append((req, pos, lat, lon))
+            lat, lon = lat + 0.02 + 0.05 * rng.random(), lon + 0.04 * (rng.random() - 0.5)
+    c = Q.cumulative_m(spark.createDataFrame(coords, "req_id long, pos int, lat double, lon double"))
+    for r in c.orderBy("req_id", "pos").collect():
+        samples.setdefault(r.req_id, []).append((r.cum_m / 1000, r.lat, r.lon))
+    h = spark.createDataFrame(huts, "hut_id long, lat double, lon double, is_network boolean, rejected boolean")
+    got = {}
+    for r in hiking.plan_hikes(c, h, 40.0).orderBy("req_id", "day").collect():
+        got.setdefault(r.req_id, []).append((r.day, round(r.start_km, 3), round(r.end_km, 3), r.hut_id, r.gap))
+    want = {q: _walk(s, s[-1][0], huts, 40.0, hiking.HutRules()) for q, s in samples.items() if s[-1][0] > 0.01}
+    assert got == want and max(map(len, want.values())) > 3 and hiking.plan_hikes(c.limit(0), h).count() == 0
+    assert all(d[3] is None for days in [sorted((r.day, r.start_km, r.end_km, r.hut_id) for r in hiking.plan_hikes(c.where("req_id = 1"), h.limit(0)).collect())] for d in days)
 
 
 def test_plan_hikes(spark):

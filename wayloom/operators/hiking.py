@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from wayloom.functions import geo
 from wayloom.operators import spatial
+from wayloom.operators.lineage import cut
+from wayloom.operators.sequences import at_distance
 
 
 @dataclass(frozen=True)
@@ -23,7 +24,6 @@ class HutRules:
     probe_km: float = 0.5
     slack_m: float = 500.0
     least_day_km: float = 5.0
-    most_days: int = 30
 
 
 def choose_overnight(targets: DataFrame, huts: DataFrame, rules: HutRules = HutRules()) -> DataFrame:
@@ -41,64 +41,73 @@ def choose_overnight(targets: DataFrame, huts: DataFrame, rules: HutRules = HutR
     return near.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("target_id", "hut_id", "is_network", "rejected", F.round("dist_m", 3).alias("dist_m"))
 
 
-def _better(new: tuple, old: tuple, slack: float) -> bool:
-    """(km, network, metres off the route): a network hut beats others; else clearly nearer, else farther along."""
-    if new[1] != old[1]:
-        return new[1]
-    if new[2] + slack < old[2]:
-        return True
-    if new[2] > old[2] + slack:
-        return False
-    return new[0] > old[0] or (abs(new[0] - old[0]) < 1.0 and new[2] < old[2])
-
-
-def fold_days(total_km: float, probes: list[tuple], most_km: float, rules: HutRules = HutRules()) -> list[tuple]:
-    """Days (day, start_km, end_km, hut_id, gap) from probes (probe km, hut id, hut km, network, metres, rejected) in order."""
-    days, start = [], 0.0
-    most = max(most_km, 1.0)
-    while start < total_km - 0.01 and len(days) < rules.most_days:
-        end_of_window = min(start + min(most, total_km - start), total_km)
-        hut, end, gap = None, end_of_window, False
-        if end_of_window < total_km - 0.01:
-            best = None
-            for at, hut_id, hut_km, network, off, rejected in probes:
-                if start + rules.first_probe_km <= at <= end_of_window and off <= rules.near_m and start + rules.least_day_km <= hut_km <= end_of_window:
-                    if best is None or _better((hut_km, network, off), best[:3], rules.slack_m):
-                        best = (hut_km, network, off, hut_id, rejected)
-            gap = best is None or best[4]
-            if best:
-                end, hut = best[0], best[3]
-        else:
-            end = total_km
-        end = min(max(end, start + 0.01), total_km)
-        days.append((len(days) + 1, start, end, hut, gap))
-        start = end
-    return days
+def _merged(best: Column, new: Column, slack: float) -> Column:
+    """The better of two huts (km, off, network): networks first, then the one clearly nearer to the route, then the farther along."""
+    apart = new["off"] - best["off"]
+    by_distance = F.when(F.abs(apart) > slack, apart < 0).otherwise((new["km"] > best["km"]) | ((F.abs(new["km"] - best["km"]) < 1.0) & (apart < 0)))
+    take = best.isNull() | F.when(new["network"] != best["network"], new["network"]).otherwise(by_distance)
+    return F.when(take, new).otherwise(best)
+
+
+def _one_day(todo: DataFrame, samples: DataFrame, huts: DataFrame, rules: HutRules) -> DataFrame:
+    """The next day of trips (req_id, start_km, window_km, total_km) that do not end in it: req_id, end_km, hut_id, gap."""
+    steps = F.floor((F.col("window_km") - F.col("start_km") - rules.first_probe_km) / rules.probe_km + 1e-9).cast("int")
+    tries = F.when(steps >= 0, F.transform(F.sequence(F.lit(0), F.greatest(steps, F.lit(0))), lambda k: F.col("start_km") + rules.first_probe_km + k * rules.probe_km)).otherwise(F.array().cast("array<double>"))
+    # the end of the window comes last and counts only if no probe has a hut
+    ask = todo.select("req_id", F.posexplode(F.concat(tries, F.array("window_km"))).alias("n", "km"), F.size(tries).alias("end_n")).withColumn("target_m", F.col("km") * 1000)
+    spots = at_distance(samples, ask.select("req_id", "target_m").distinct())
+    probe = spots.join(ask, ["req_id", "target_m"]).withColumn("target_id", F.struct("req_id", "n", "km", "end_n"))
+    chosen = choose_overnight(probe.select("target_id", "lat", "lon"), huts, rules).join(huts.select("hut_id", F.col("lat").alias("h_lat"), F.col("lon").alias("h_lon")), "hut_id")
+    chosen = cut(chosen.select("target_id.*", "hut_id", "is_network", "rejected", "dist_m", "h_lat", "h_lon"))
+    used = chosen.where((F.col("n") < F.col("end_n")) & (F.col("dist_m") <= rules.near_m))
+    inside = samples.join(todo, "req_id").where((F.col("cum_m") / 1000).between(F.col("start_km"), F.col("window_km"))).select("req_id", "lat", "lon", (F.col("cum_m") / 1000).alias("s_km"))
+    off = F.round(geo.haversine_m(F.col("lat"), F.col("lon"), F.col("h_lat"), F.col("h_lon"), geo.R_MEAN), 3)
+    foot = used.select("req_id", "hut_id", "h_lat", "h_lon").distinct().join(inside, "req_id").groupBy("req_id", "hut_id").agg(F.min(F.struct(off.alias("off"), "s_km")).alias("foot"))
+    seen = used.join(foot, ["req_id", "hut_id"], "left").join(todo.select("req_id", "start_km"), "req_id").select(
+        "req_id", "n", F.coalesce("foot.s_km", "km").alias("km"), F.coalesce("foot.off", "dist_m").alias("off"), F.col("is_network").alias("network"), "hut_id", "rejected", "start_km")
+    seen = seen.where(F.col("km") - F.col("start_km") >= rules.least_day_km)
+    rows = seen.groupBy("req_id").agg(F.array_sort(F.collect_list(F.struct("n", "km", "off", "network", "hut_id", "rejected"))).alias("rows"))
+    nothing = F.lit(None).cast("struct<n:int,km:double,off:double,network:boolean,hut_id:bigint,rejected:boolean>")
+    best = rows.select("req_id", F.aggregate("rows", nothing, lambda a, x: _merged(a, x, rules.slack_m)).alias("best"))
+    last = chosen.where(F.col("n") == F.col("end_n")).select("req_id", F.struct("hut_id", "dist_m", "rejected").alias("last"))
+    bad = lambda h, d: F.coalesce((d > rules.near_m) | h["rejected"], F.lit(True))
+    b, l = F.col("best"), F.col("last")
+    return todo.join(best, "req_id", "left").join(last, "req_id", "left").select(
+        "req_id", F.coalesce(b["km"], F.col("window_km")).alias("end_km"), F.when(b.isNotNull(), b["hut_id"]).otherwise(l["hut_id"]).alias("hut_id"),
+        F.when(b.isNotNull(), bad(b, b["off"])).otherwise(bad(l, l["dist_m"])).alias("gap"))
 
 
 def plan_hikes(samples: DataFrame, huts: DataFrame, most_km: float = 40.0, rules: HutRules = HutRules()) -> DataFrame:
-    """Days of trips with samples (req_id, pos, lat, lon, cum_m) and huts.
-
-    Spark finds the overnight choice of each probe every half kilometre and the
-    point of the route nearest to that hut; only the fold over a trip's probes,
-    bounded by its length, runs per group.
+    """Days of trips with samples (req_id, pos, lat, lon, cum_m) and huts: req_id, day, start_km, end_km, hut_id, gap.
+
+    A day's window starts where the day before ended, so days are planned in
+    rounds, one day of all unfinished trips each.  In a round every half
+    kilometre from 8 km on asks for its overnight choice; huts near it stand at
+    the window's sample nearest to them, and the best of them ends the day.
+    Without one the day ends with the window and its choice.  ``gap``: the night
+    has no safe hut near.  Every day but a trip's last is at least
+    ``least_day_km`` or a whole window long, so rounds end.
+
+    Defined cases: trips without length have no days; without huts all nights
+    are gaps with a null hut; huts with null coordinates are never chosen; an
+    empty table gives an empty result.
     """
-    from wayloom.operators.sequences import at_distance
-
-    total = samples.groupBy("req_id").agg(F.max("cum_m").alias("total_m"))
-    n = F.floor(F.col("total_m") / (1000 * rules.probe_km)).cast("int")
-    ask = total.select("req_id", F.explode(F.transform(F.sequence(F.lit(0), n), lambda k: k * (1000.0 * rules.probe_km))).alias("target_m"))
-    probe = at_distance(samples, ask).withColumn("target_id", F.struct("req_id", "target_m"))
-    chosen = choose_overnight(probe.select("target_id", "lat", "lon"), huts, rules).select("target_id.*", "hut_id", "is_network", "rejected")
-    used = chosen.select("req_id", "hut_id").distinct().join(huts.select("hut_id", F.col("lat").alias("h_lat"), F.col("lon").alias("h_lon")), "hut_id")
-    off = F.round(geo.haversine_m(F.col("lat"), F.col("lon"), F.col("h_lat"), F.col("h_lon")), 3)
-    foot = used.join(samples, "req_id").groupBy("req_id", "hut_id").agg(F.min(F.struct(off.alias("off"), F.col("cum_m"))).alias("m")).select("req_id", "hut_id", F.col("m.off").alias("off"), (F.col("m.cum_m") / 1000).alias("hut_km"))
-    probes = total.join(chosen.join(foot, ["req_id", "hut_id"]), "req_id", "left")
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.dropna(subset=["target_m"]).sort_values("target_m")
-        seq = [(r.target_m / 1000, int(r.hut_id), r.hut_km, bool(r.is_network), r.off, bool(r.rejected)) for r in rows.itertuples(index=False)]
-        out = fold_days(pdf.total_m.iloc[0] / 1000, seq, most_km, rules)
-        return pd.DataFrame([(pdf.req_id.iloc[0], *d) for d in out], columns=["req_id", "day", "start_km", "end_km", "hut_id", "gap"]).astype({"hut_id": "Int64"})
-
-    return probes.groupBy("req_id").applyInPandas(fold, "req_id long, day int, start_km double, end_km double, hut_id long, gap boolean")
+    samples = cut(samples.select("req_id", "pos", "lat", "lon", "cum_m"))
+    total = samples.groupBy("req_id").agg((F.max("cum_m") / 1000).alias("total_km"))
+    todo = cut(total.where("total_km > 0.01").select("req_id", F.lit(0.0).alias("start_km"), "total_km", F.lit(1).alias("day")))
+    done = []
+    while not todo.isEmpty():
+        window = todo.withColumn("window_km", F.least(F.col("start_km") + max(most_km, 1.0), "total_km"))
+        final = F.col("window_km") >= F.col("total_km") - 0.01
+        ends = window.where(final).select("req_id", "day", "start_km", F.col("total_km").alias("end_km"), F.lit(None).cast("long").alias("hut_id"), F.lit(False).alias("gap"))
+        on = window.where(~final)
+        own = cut(on.join(_one_day(on, samples, huts, rules), "req_id"))
+        stop = F.least(F.greatest("end_km", F.col("start_km") + 0.01), "total_km")
+        done += [ends, own.select("req_id", "day", "start_km", stop.alias("end_km"), "hut_id", "gap")]
+        todo = cut(own.select("req_id", stop.alias("start_km"), "total_km", (F.col("day") + 1).alias("day")).where("start_km < total_km - 0.01"))
+    if not done:
+        return todo.select("req_id", "day", "start_km", F.col("total_km").alias("end_km"), F.lit(None).cast("long").alias("hut_id"), F.lit(False).alias("gap"))
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out
