@@ -25,7 +25,7 @@ def plan_routes(requests: DataFrame, nodes: DataFrame, edges: DataFrame, profile
     box = requests.join(ok.select("req_id"), "req_id", "left_semi").select(
         "req_id", (F.least("a_lat", "b_lat") - pad_deg).alias("min_lat"), (F.greatest("a_lat", "b_lat") + pad_deg).alias("max_lat"), (F.least("a_lon", "b_lon") - pad_deg).alias("min_lon"), (F.greatest("a_lon", "b_lon") + pad_deg).alias("max_lon"))
     size = max(pad_deg, 0.1)
-    cells = spatial.segment_cells(box, size, "min_lat", "min_lon", "max_lat", "max_lon")
+    cells = spatial.box_cells(box, size, "min_lat", "min_lon", "max_lat", "max_lon")
     place = nodes.withColumns({"_row": F.floor(F.col("lat") / size), "_col": F.floor(F.col("lon") / size)})
     inside = place.join(cells, ["_row", "_col"]).where(F.col("lat").between(F.col("min_lat"), F.col("max_lat")) & F.col("lon").between(F.col("min_lon"), F.col("max_lon"))).select("req_id", F.col("id").alias("src"))
     own = edges.where(routing.allowed(**options)).join(inside, "src")

@@ -28,7 +28,7 @@ def knn_pois(spark, d):
 
 
 @register("snap_nodes", f"""WITH linked AS (SELECT src AS id FROM ({V.EDGES}) UNION SELECT dst FROM ({V.EDGES})), l AS (SELECT n.* FROM ({V.NODES}) n JOIN linked USING (id)),
- s AS (SELECT p.poi_id, n.id AS node, round({H}, 3) AS dist_m, row_number() OVER (PARTITION BY p.poi_id ORDER BY round({H}, 3), n.id) AS rank FROM l n CROSS JOIN (SELECT * FROM ({V.POIS}) WHERE poi_id % 7 = 0) p)
+ s AS (SELECT p.poi_id, n.id AS node, round({H}, 3) AS dist_m, row_number() OVER (PARTITION BY p.poi_id ORDER BY round({H}, 3), n.id) AS rank FROM l n CROSS JOIN ({V.POIS}) p)
  SELECT poi_id, node, dist_m, dist_m <= 750 AS within_budget FROM s WHERE rank = 1""")
 def snap_nodes(spark, d):
     from wayloom.operators.routing import SNAP_M
@@ -36,7 +36,7 @@ def snap_nodes(spark, d):
     e = V.edges(spark, d)
     linked = e.select(F.col("src").alias("id")).union(e.select("dst")).distinct()
     n = V.nodes(spark, d).join(linked, "id", "left_semi").select(F.col("id").alias("node"), "lat", "lon")
-    near = X.knn(V.pois(spark, d).where("poi_id % 7 = 0").select("poi_id", "lat", "lon"), n, 1, 10_000.0, "poi_id", "node")
+    near = X.knn(V.pois(spark, d).select("poi_id", "lat", "lon"), n, 1, 10_000.0, "poi_id", "node")
     return near.select("poi_id", "node", "dist_m", (F.col("dist_m") <= SNAP_M["car"]).alias("within_budget"))
 
 
@@ -67,39 +67,50 @@ def _pd(lat, lon):
     return f"CASE WHEN {l2} < 1 THEN {hav_sql(lat, lon, 'a_lat', 'a_lon')} ELSE sqrt(pow({ax} + {t} * ({bx} - {ax}), 2) + pow({ay} + {t} * ({by} - {ay}), 2)) END"
 
 
-@register("corridor_pois", f"""WITH s AS (SELECT * FROM ({SEG}) WHERE b_lat IS NOT NULL AND req_id % 400 = 7) SELECT poi_id FROM ({V.POIS}) p WHERE EXISTS (SELECT 1 FROM s WHERE {_pd('p.lat', 'p.lon')} <= 1500)""")
+@register("corridor_pois", f"""WITH s AS (SELECT * FROM ({SEG}) WHERE b_lat IS NOT NULL) SELECT DISTINCT s.req_id, p.poi_id FROM ({V.POIS}) p JOIN s
+ ON p.lat >= least(a_lat, b_lat) - 0.02 AND p.lat <= greatest(a_lat, b_lat) + 0.02 WHERE p.lon BETWEEN least(a_lon, b_lon) - 0.05 AND greatest(a_lon, b_lon) + 0.05 AND {_pd('p.lat', 'p.lon')} <= 1500""")
 def corridor_pois(spark, d):
-    return X.within_corridor(V.pois(spark, d), _segments(spark, d).where("req_id % 400 = 7"), 1500.0, "poi_id").select("poi_id")
+    """Places within 1500 m of every path."""
+    return X.within_corridor(V.pois(spark, d), _segments(spark, d), 1500.0, "poi_id", ("req_id",))
 
 
-@register("barrier_crossings", f"""WITH s AS (SELECT * FROM ({SEG}) WHERE b_lat IS NOT NULL), l AS (SELECT * FROM s WHERE req_id % 200 = 3), r AS (SELECT req_id AS o_id, pos AS o_pos, a_lat AS c_lat, a_lon AS c_lon, b_lat AS d_lat, b_lon AS d_lon FROM s WHERE req_id % 300 = 11),
+def _on(o, p, q, r):
+    return f"(abs({o}) <= 1e-12 AND {r}_lon BETWEEN least({p}_lon, {q}_lon) - 1e-12 AND greatest({p}_lon, {q}_lon) + 1e-12 AND {r}_lat BETWEEN least({p}_lat, {q}_lat) - 1e-12 AND greatest({p}_lat, {q}_lat) + 1e-12)"
+
+
+@register("barrier_crossings", f"""WITH s AS (SELECT * FROM ({SEG}) WHERE b_lat IS NOT NULL), l AS (SELECT * FROM s WHERE req_id % 20 = 0),
+ r AS (SELECT req_id AS o_id, pos AS o_pos, a_lat AS c_lat, a_lon AS c_lon, a_lat + (b_lat - a_lat) / 64 AS d_lat, a_lon + (b_lon - a_lon) / 64 AS d_lon FROM s),
  o AS (SELECT *, (b_lon - a_lon) * (c_lat - a_lat) - (b_lat - a_lat) * (c_lon - a_lon) AS o1, (b_lon - a_lon) * (d_lat - a_lat) - (b_lat - a_lat) * (d_lon - a_lon) AS o2,
-  (d_lon - c_lon) * (a_lat - c_lat) - (d_lat - c_lat) * (a_lon - c_lon) AS o3, (d_lon - c_lon) * (b_lat - c_lat) - (d_lat - c_lat) * (b_lon - c_lon) AS o4 FROM l CROSS JOIN r)
- SELECT req_id, pos, o_id, o_pos FROM o WHERE ((o1 > 0) <> (o2 > 0)) AND ((o3 > 0) <> (o4 > 0)) AND least(abs(o1), abs(o2), abs(o3), abs(o4)) > 1e-9""")
+  (d_lon - c_lon) * (a_lat - c_lat) - (d_lat - c_lat) * (a_lon - c_lon) AS o3, (d_lon - c_lon) * (b_lat - c_lat) - (d_lat - c_lat) * (b_lon - c_lon) AS o4 FROM l JOIN r
+  ON least(a_lat, b_lat) <= greatest(c_lat, d_lat) + 1e-9 AND greatest(a_lat, b_lat) >= least(c_lat, d_lat) - 1e-9 WHERE least(a_lon, b_lon) <= greatest(c_lon, d_lon) + 1e-9 AND greatest(a_lon, b_lon) >= least(c_lon, d_lon) - 1e-9)
+ SELECT req_id, pos, o_id, o_pos FROM o WHERE (o1 * o2 < 0 AND o3 * o4 < 0) OR {_on('o1', 'a', 'b', 'c')} OR {_on('o2', 'a', 'b', 'd')} OR {_on('o3', 'c', 'd', 'a')} OR {_on('o4', 'c', 'd', 'b')}""")
 def barrier_crossings(spark, d):
+    """Legs of every twentieth path against the barriers that begin at all paths' points, touches included."""
     s = _segments(spark, d)
-    r = s.where("req_id % 300 = 11").withColumnsRenamed({"req_id": "o_id", "pos": "o_pos", "a_lat": "c_lat", "a_lon": "c_lon", "b_lat": "d_lat", "b_lon": "d_lon"})
-    c = X.crossing_pairs(s.where("req_id % 200 = 3"), r, 0.25)
-    o = [geo.orientation(*(F.col(f"{p}_{x}") for p in t for x in ("lon", "lat"))) for t in ("abc", "abd", "cda", "cdb")]
-    return c.where(F.least(*(F.abs(x) for x in o)) > 1e-9).select("req_id", "pos", "o_id", "o_pos")
+    part = lambda c: (F.col(f"a_{c}") + (F.col(f"b_{c}") - F.col(f"a_{c}")) / 64).alias(f"d_{c}")
+    r = s.select(F.col("req_id").alias("o_id"), F.col("pos").alias("o_pos"), F.col("a_lat").alias("c_lat"), F.col("a_lon").alias("c_lon"), part("lat"), part("lon"))
+    return X.crossing_pairs(s.where("req_id % 20 = 0"), r, 0.1).select("req_id", "pos", "o_id", "o_pos")
+
+
+#: Rings: the points of a path drawn to a twentieth of their distance from its first point.
+RINGS = f"SELECT req_id AS ring_id, pos, f_lon + (lon - f_lon) / 20 AS lon, f_lat + (lat - f_lat) / 20 AS lat FROM (SELECT *, first_value(lat) OVER w AS f_lat, first_value(lon) OVER w AS f_lon, count(*) OVER (PARTITION BY req_id) AS n FROM ({V.PATH}) WINDOW w AS (PARTITION BY req_id ORDER BY pos)) WHERE n >= 3"
 
 
-@register("wetland_points", f"""WITH g AS (SELECT req_id AS ring_id, list({{'lon': lon, 'lat': lat}} ORDER BY pos) AS ring FROM ({V.PATH}) WHERE req_id % 50 = 1 GROUP BY req_id HAVING count(*) >= 3),
- e AS (SELECT ring_id, unnest(range(1, len(ring) + 1)) AS i, ring FROM g), s AS (SELECT ring_id, ring[i].lon AS ax, ring[i].lat AS ay, ring[CASE WHEN i = 1 THEN len(ring) ELSE i - 1 END].lon AS bx, ring[CASE WHEN i = 1 THEN len(ring) ELSE i - 1 END].lat AS by_ FROM e)
- SELECT id, ring_id FROM ({V.NODES}) n CROSS JOIN s WHERE (ay > lat) <> (by_ > lat) AND lon < (bx - ax) * (lat - ay) / (by_ - ay) + ax GROUP BY id, ring_id HAVING count(*) % 2 = 1""")
+@register("wetland_points", f"""WITH e AS (SELECT ring_id, lon AS ax, lat AS ay, coalesce(lag(lon) OVER w, last_value(lon) OVER v) AS bx, coalesce(lag(lat) OVER w, last_value(lat) OVER v) AS by_ FROM ({RINGS})
+  WINDOW w AS (PARTITION BY ring_id ORDER BY pos), v AS (PARTITION BY ring_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+ SELECT id, ring_id FROM ({V.NODES}) n JOIN e ON lat >= least(ay, by_) AND lat <= greatest(ay, by_) WHERE (ay > lat) <> (by_ > lat) AND lon < (bx - ax) * (lat - ay) / (by_ - ay) + ax GROUP BY id, ring_id HAVING count(*) % 2 = 1""")
 def wetland_points(spark, d):
-    p = V.path(spark, d).where("req_id % 50 = 1").groupBy("req_id").agg(F.array_sort(F.collect_list(F.struct("pos", "lon", "lat"))).alias("p")).where("size(p) >= 3")
-    rings = p.select(F.col("req_id").alias("ring_id"), F.transform("p", lambda x: F.struct(x["lon"].alias("lon"), x["lat"].alias("lat"))).alias("ring"))
-    return X.points_in_rings(V.nodes(spark, d), X.ring_bounds(rings), 0.5).select("id", "ring_id")
+    p = V.path(spark, d).groupBy("req_id").agg(F.array_sort(F.collect_list(F.struct("pos", "lon", "lat"))).alias("p")).where("size(p) >= 3")
+    near = lambda x, c: (F.col("p")[0][c] + (x[c] - F.col("p")[0][c]) / 20).alias(c)
+    rings = p.select(F.col("req_id").alias("ring_id"), F.transform("p", lambda x: F.struct(near(x, "lon"), near(x, "lat"))).alias("ring"))
+    return X.points_in_rings(V.nodes(spark, d), X.ring_bounds(rings), 0.1)
 
 
-@register("nearest_road", f"""WITH s AS (SELECT * FROM ({SEG}) WHERE b_lat IS NOT NULL AND req_id % 200 = 9), m AS (SELECT p.poi_id, s.req_id, s.pos, round({_pd('p.lat', 'p.lon')}, 3) AS dist_m FROM (SELECT * FROM ({V.POIS}) WHERE poi_id % 20 = 0) p CROSS JOIN s)
+@register("nearest_road", f"""WITH s AS (SELECT * FROM ({SEG}) WHERE b_lat IS NOT NULL), m AS (SELECT p.poi_id, s.req_id, s.pos, round({_pd('p.lat', 'p.lon')}, 3) AS dist_m FROM (SELECT * FROM ({V.POIS}) WHERE poi_id % 20 = 0) p CROSS JOIN s)
  SELECT poi_id, min(dist_m) AS dist_m, arg_min(req_id, (dist_m, req_id, pos)) AS road FROM m GROUP BY poi_id""")
 def nearest_road(spark, d):
-    s = F.broadcast(_segments(spark, d).where("req_id % 200 = 9"))  # one corridor's roads, bounded by the request
     p = V.pois(spark, d).where("poi_id % 20 = 0").select("poi_id", "lat", "lon")
-    dist = R(geo.point_segment_m(F.col("lat"), F.col("lon"), F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon")))
-    return p.join(s, F.lit(True)).groupBy("poi_id").agg(F.min(F.struct(dist.alias("d"), "req_id", "pos")).alias("m")).select("poi_id", F.col("m.d").alias("dist_m"), F.col("m.req_id").alias("road"))
+    return X.nearest_segment(p, _segments(spark, d)).select("poi_id", "dist_m", F.col("req_id").alias("road"))
 
 
 @register("node_uses", f"""WITH w AS (SELECT req_id AS way_id, pos, max(pos) OVER (PARTITION BY req_id) AS z, min(pos) OVER (PARTITION BY req_id) AS a, 1 + floor(lat * 40)::BIGINT % 97 AS node FROM ({V.PATH}))
@@ -248,8 +259,8 @@ def speed_windows(spark, d):
     return g.select("event_type", F.unix_timestamp("w.start").alias("start"), "n", "speed")
 
 
-@register("vector_topk", """WITH q AS (SELECT vec_id AS q_id, embedding AS q FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT q_id, vec_id, round(sqrt(list_sum(list_transform(range(1, len(q) + 1), lambda i: pow(q[i]::DOUBLE - embedding[i]::DOUBLE, 2)))), 4) AS dist FROM q CROSS JOIN embeddings)
+@register("vector_topk", """WITH q AS (SELECT vec_id AS q_id, embedding AS q FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT q_id, vec_id, round(sqrt(list_sum(list_transform(range(1, len(q) + 1), lambda i: pow(q[i]::DOUBLE - embedding[i]::DOUBLE, 2)))), 4) AS dist FROM q CROSS JOIN embeddings)
  SELECT q_id, vec_id, dist FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY dist, vec_id) AS r FROM s) WHERE r <= 5""")
 def vector_topk(spark, d):
     e = table(spark, d, "embeddings")
-    return S.nearest_vectors(e, e.where("vec_id % 50 = 0"), 5)
+    return S.nearest_vectors(e, e.where("vec_id % 20 = 0"), 5)
