@@ -40,16 +40,6 @@ def snap_nodes(spark, d):
     return near.select("poi_id", "node", "dist_m", (F.col("dist_m") <= SNAP_M["car"]).alias("within_budget"))
 
 
-@register("overnight_safety", f"""WITH c AS (SELECT * FROM ({V.POIS}) WHERE category IN ('cabin', 'network_hut', 'tent_site')), b AS (SELECT * FROM ({V.POIS}) WHERE category = 'general'), g AS (SELECT * FROM ({V.POIS}) WHERE category = 'fishing')
- SELECT poi_id, CASE WHEN EXISTS (SELECT 1 FROM b WHERE {hav_sql('c.lat', 'c.lon', 'b.lat', 'b.lon', 6371008.8)} < 1500) THEN 'building' WHEN category = 'tent_site' AND EXISTS (SELECT 1 FROM g WHERE {hav_sql('c.lat', 'c.lon', 'g.lat', 'g.lon', 6371008.8)} < 10000) THEN 'glacier' END AS reject FROM c""")
-def overnight_safety(spark, d):
-    p = V.pois(spark, d)
-    c = p.where(F.col("category").isin("cabin", "network_hut", "tent_site")).select("poi_id", "category", "lat", "lon")
-    hit = lambda cat, m, flag: X.radius_join(c, p.where(F.col("category") == cat).select("lat", "lon"), m).where(F.col("dist_m") < m).select("poi_id").distinct().withColumn(flag, F.lit(True))
-    j = c.join(hit("general", 1500.0, "b"), "poi_id", "left").join(hit("fishing", 10_000.0, "g"), "poi_id", "left")
-    return j.select("poi_id", F.when(F.col("b"), "building").when(F.col("g") & (F.col("category") == "tent_site"), "glacier").alias("reject"))
-
-
 SEG = f"SELECT req_id, pos, lat AS a_lat, lon AS a_lon, lead(lat) OVER w AS b_lat, lead(lon) OVER w AS b_lon FROM ({V.PATH}) WINDOW w AS (PARTITION BY req_id ORDER BY pos)"
 
 
@@ -181,7 +171,11 @@ def merged_legs(spark, d):
     return Q.merge_legs(c.select(F.floor(F.col("req_id") / 10).alias("trip"), F.col("req_id").alias("leg"), "pos", "cum_m")).withColumn("cum_m", R(F.col("cum_m"), 1))
 
 
-@register("spaced_stops")
+@register("spaced_stops", f"""WITH RECURSIVE p AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY req_id ORDER BY pos) AS n FROM ({V.PATH})),
+ w AS (SELECT req_id, n, pos, lat, lon, true AS kept, [{{'lat': lat, 'lon': lon}}] AS held FROM p WHERE n = 1
+  UNION ALL SELECT q.req_id, q.n, q.pos, q.lat, q.lon, q.ok, CASE WHEN q.ok THEN list_append(held, {{'lat': q.lat, 'lon': q.lon}}) ELSE held END FROM (
+   SELECT p.*, w.held, NOT list_bool_or(list_transform(w.held, lambda k: {hav_sql('k.lat', 'k.lon', 'p.lat', 'p.lon')} < 150000)) AS ok FROM w JOIN p ON p.req_id = w.req_id AND p.n = w.n + 1) q)
+ SELECT req_id, pos, lat, lon FROM w WHERE kept""")
 def spaced_stops(spark, d):
     return Q.spaced(V.path(spark, d), 150_000.0)
 
