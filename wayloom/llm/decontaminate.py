@@ -157,7 +157,7 @@ def latent_space(encoded: DataFrame, rank: int = RANK, seed: int = 7) -> tuple[n
     # every task emits VOCAB x rank sums, so the tasks are as many as the cluster keeps busy, not as many as the input has splits
     sc, feats = encoded.sparkSession.sparkContext, encoded.select("feats")
     splits = feats.rdd.getNumPartitions()
-    tasks = min(splits, max(4 * sc.defaultParallelism, int(8 * splits**0.5)))
+    tasks = min(splits, max(2 * sc.defaultParallelism, int(2 * splits**0.5)))
     parts = (
         feats.coalesce(tasks).mapInArrow(bounded(_project(sc.broadcast(idf), rank, seed, ROW_BLOCKS)), "block int, part binary")
         .repartition(ROW_BLOCKS, "block").mapInArrow(bounded(_add), "block int, part binary").toArrow()
