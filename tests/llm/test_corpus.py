@@ -158,6 +158,22 @@ def test_ablation(spark, odd):
         assert rows[name].kept_without == sum(not b & ~bit for b in bits)
 
 
+def test_every_kind_equals_its_pattern(spark):
+    rng = random.Random(15)
+    bits = ["ghp_", "gho_", "xoxb-", "AIza", "AKIA", "secret=", "token: ", "deadbeef", "Z9", "a", "é", " ", "\n", "-", "_", "0123456789abcdef", "ABCDEFGHIJKLMNOP", "qrstuvwx"]
+    rows = [(i, "".join(rng.choice(bits) for _ in range(rng.randrange(40))), "en", "a") for i in range(400)]
+    rows += [(900, "ghp_" + "a" * 300_000 + " " + "f" * 300_000, "en", "a"), (901, None, "en", "a")]
+    patterns = {
+        "code_host": (r"gh[opsu]_([A-Za-z0-9]+)", 36, 0), "chat": (r"xox[abps]-([A-Za-z0-9-]+)", 10, 0), "cloud": (r"AIza([A-Za-z0-9_-]+)", 1, 39),
+        "access": (r"AKIA([A-Z0-9]+)", 1, 20), "hex": (r"([0-9a-f]+)", 1, 24),
+        "assign": (r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6, 0),
+    }
+    got = {r.doc_id: {(s.kind, s.start, s.end) for s in r.spans} for r in secrets.scan(make(spark, rows)).collect()}
+    for i, t, *_ in rows:
+        want = {(k, m.start(), m.end()) for k, (p, tail, whole) in patterns.items() for m in re.finditer(p, t or "") if len(m[1]) >= tail and len(m[0]) >= whole}
+        assert got[i] == want, (i, t and t[:200])
+
+
 # --- mixing
 
 
@@ -512,7 +528,7 @@ def test_consensus_moves_a_page_to_its_hosts_path(spark):
 
 def test_token_counts(spark, odd, empty):
     rows = [*odd, (30, "Ünï\n\ncode 👍 text\n x", "en", "a"), (31, "\n\n\n a", "en", "a")]
-    enc, _ = token_counts.encoder()
+    enc, _ = token_counts.encoder(token_counts.read_vocabulary())
     for r, got in zip(rows, token_counts.count_tokens(make(spark, rows).coalesce(1)).collect()):
         text = r[1] or ""
         assert got.n_tokens == len(enc.encode_ordinary(text)) == sum(got.section_tokens)
@@ -523,6 +539,38 @@ def test_token_counts(spark, odd, empty):
     assert token_counts.attribute(np.array([4]), b"abcd", np.array([2, 4]))[0].tolist() == [1, 0]
 
 
+def test_tokens_of_sections_equal_a_walk_over_characters(spark):
+    rng = random.Random(12)
+    alphabet = ["a", "b", "th", "é", "ß", "👍", " ", " ", "\n", "12", ".", "é ü", "ing"]
+    rows = [(i, "".join(rng.choice(alphabet) for _ in range(rng.randrange(60))), "en", "a") for i in range(120)] + [(900, None, "en", "a")]
+    sizes = {i: [rng.randrange(0, 9) for _ in range(rng.randrange(1, 8))] for i, *_ in rows}
+    enc, _ = token_counts.encoder(token_counts.read_vocabulary())
+    frame = make(spark, rows).join(spark.createDataFrame(list(sizes.items()), "doc_id long, sizes array<int>"), "doc_id")
+    for r in token_counts.count_tokens(frame, F.col("sizes")).collect():
+        text = dict((i, t) for i, t, *_ in rows)[r.doc_id] or ""
+        section, left = [], list(sizes[r.doc_id])
+        for n, size in enumerate(left):
+            section += [n] * size
+        section = (section + [len(left)] * len(text))[: len(text)]
+        n_sections = len(left) + (sum(left) < len(text))
+        # the character that each byte belongs to, and the character that starts at it
+        owner = [k for k, ch in enumerate(text) for _ in ch.encode()]
+        lead = [j == 0 for ch in text for j in range(len(ch.encode()))]
+        want, crossing, at = [0] * n_sections, 0, 0
+        for token in enc.encode_ordinary(text):
+            size = len(enc.decode_single_token_bytes(token))
+            touched = [section[owner[b]] for b in range(at, at + size)]
+            began = [section[owner[b]] for b in range(at, at + size) if lead[b]]
+            if len(set(touched)) == 1:
+                want[touched[0]] += 1
+            else:
+                crossing += 1
+                counts = collections.Counter(began)
+                want[min(sorted(set(touched)), key=lambda s: (-counts[s], s))] += 1
+            at += size
+        assert (r.section_tokens, r.n_crossing, r.n_tokens) == (want, crossing, sum(want))
+
+
 # --- pipeline
 
 

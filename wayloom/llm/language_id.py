@@ -98,7 +98,7 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([
             langs.take(pa.array([r for r, _, _ in rows], pa.int32())),
             pa.array([w.astype(np.uint16).tobytes() for _, w, _ in rows], pa.binary()),
-            pa.array([np.minimum(c, 65535).astype(np.uint16).tobytes() for _, _, c in rows], pa.binary()),
+            pa.array([c.astype(np.uint32).tobytes() for _, _, c in rows], pa.binary()),
         ], ["lang", "which", "counts"])
 
 
@@ -180,7 +180,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
     vectors = []
     for r in sample:
         which = np.frombuffer(r.which, np.uint16).astype(np.int64)
-        vectors.append((which, tf_idf(which, np.frombuffer(r.counts, np.uint16), idf)))
+        vectors.append((which, tf_idf(which, np.frombuffer(r.counts, np.uint32), idf)))
     hold = np.arange(len(sample)) % 5 == 0
     if len(sample) < 20:
         hold[:] = False

@@ -27,20 +27,25 @@ PIECE = 100_000
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str = VOCABULARY, pattern: str = PATTERN):
+def encoder(vocabulary: bytes, pattern: str = PATTERN):
+    """(encoding, byte length of each token) of the lines of a vocabulary file."""
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
     size = np.zeros(max(ranks.values()) + 1, np.int32)
     for token, rank in ranks.items():
         size[rank] = len(token)
     return tiktoken.Encoding("wayloom", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), size
 
 
-def token_ends(text: str, path: str = VOCABULARY) -> np.ndarray:
+def read_vocabulary(path: str = VOCABULARY) -> bytes:
+    with open(path, "rb") as f:
+        return f.read()
+
+
+def token_ends(text: str, vocabulary: bytes) -> np.ndarray:
     """Byte offsets at which the text's tokens end."""
-    enc, size = encoder(path)
+    enc, size = encoder(vocabulary)
     at, ends, done = 0, [], 0
     while at < len(text):
         cut = min(len(text), at + PIECE)
@@ -66,24 +71,29 @@ def attribute(ends: np.ndarray, raw: bytes, bounds: np.ndarray) -> tuple[np.ndar
     return counts, len(crossing)
 
 
-def _count(path: str):
+def _bounds(sizes: list, length: int) -> np.ndarray:
+    """Ends of the sections in code points: cut at the text's end, the rest of the text a section more."""
+    out = np.minimum(np.cumsum([max(0, s or 0) for s in sizes], dtype=np.int64), length)
+    return out if out[-1] == length else np.append(out, length)
+
+
+def _count(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, per, cross = [], [], []
             for text, sizes in zip(batch.column(1), batch.column(2)):
                 text, sizes = text.as_py() or "", sizes.as_py() or []
-                ends = token_ends(text, path)
+                ends = token_ends(text, shared.value)
                 n.append(len(ends))
                 if not sizes:
                     per.append([])
                     cross.append(0)
                     continue
                 raw = text.encode()
-                if len(raw) == len(text):
-                    bounds = np.cumsum(sizes, dtype=np.int64)
-                else:
+                bounds = _bounds(sizes, len(text))
+                if len(raw) != len(text):
                     lead = np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)
-                    bounds = np.append(lead, len(raw))[np.cumsum(sizes, dtype=np.int64)]
+                    bounds = np.append(lead, len(raw))[bounds]
                 counts, c = attribute(ends, raw, bounds)
                 per.append(counts.tolist())
                 cross.append(c)
@@ -100,13 +110,16 @@ def line_sections(text: Column) -> Column:
 def count_tokens(docs: DataFrame, sections: Column | None = None, id_col: str = "doc_id", text_col: str = "text", path: str = VOCABULARY) -> DataFrame:
     """One row a document: doc_id, n_tokens, section_tokens (array), n_crossing.
 
-    ``sections`` holds the sizes (code points) of consecutive sections that
-    cover the text; by default its lines.  Fields of several columns are
+    ``sections`` holds the sizes (code points) of consecutive sections; by
+    default the text's lines.  What they leave of the text is one section more,
+    what they have beyond it is cut.  The vocabulary is read from ``path`` on the
+    driver and broadcast (a file of fixed size).  Fields of several columns are
     attributed by joining the columns and giving their lengths.  Defined cases:
     null and empty texts have 0 tokens and no sections; sections of size 0 get
     none; ids may be null or repeat; an empty table gives an empty result.
     """
     kind = docs.schema[id_col].dataType.simpleString()
+    shared = docs.sparkSession.sparkContext.broadcast(read_vocabulary(path))
     sizes = line_sections(F.col(text_col)) if sections is None else sections
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(sizes, F.array().cast("array<int>")).alias("sizes"))
-    return rows.mapInArrow(bounded(_count(path)), f"doc_id {kind}, n_tokens long, section_tokens array<long>, n_crossing long")
+    return rows.mapInArrow(bounded(_count(shared)), f"doc_id {kind}, n_tokens long, section_tokens array<long>, n_crossing long")
