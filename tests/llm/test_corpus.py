@@ -587,3 +587,50 @@ def test_pipeline_stages(spark, tmp_path):
     got = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert set(got) == {*range(30), 44} and got[44].text.endswith("[assign]") and got[44].n_chars == len(got[44].text)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_dedup", "decontamination", "secret_scan", "mix_sources"]
+
+
+def _brute_pipeline(rows, items):
+    """Kept texts by the rules read one by one: quality, near copies (first row stays), leaks."""
+    kept = []
+    for i, t, *_ in rows:
+        n, chars, symbols, dup, repeat = brute_measures(t)
+        lines = [x for x in (t or "").split("\n") if WORD.search(x)]
+        up, down = (sum(a <= c <= b for c in t or "") for a, b in ("AZ", "az"))
+        if n >= 50 and 100 * repeat <= 50 * n and 5 * symbols <= n and not (len(lines) >= 4 and 2 * dup > len(lines)) and 2 * n <= chars <= 14 * n and up <= down:
+            kept.append((i, t))
+    roots, sets = brute_components([(k, t) for k, (_, t) in enumerate(kept)])
+    kept = [x for k, x in enumerate(kept) if roots[k] == k]
+    number: dict[str, int] = {}
+    code = lambda t: np.array([number.setdefault(w, len(number)) for w in t.lower().split()], np.int64)
+    out = []
+    for i, t in kept:
+        own, leak = code(t), False
+        for item in items:
+            x = code(item)
+            answer = x[-min(8, max(1, len(x) // 3)) :]
+            near = [own[a : a + 4 * len(x)] for a in range(0, max(1, len(own)), len(x))]  # a copy lies in one place
+            leak |= any(decontaminate.lcs(x.tolist(), w) >= 0.6 * len(x) and decontaminate.lcs(answer.tolist(), w) >= 0.5 * len(answer) for w in near)
+        if not leak:
+            out.append((i, t))
+    return out
+
+
+def test_pipeline_equals_brute_force_and_copes_with_odd_rows(spark, odd, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(16)
+    items = [prose(rng, n, 5000) for n in (20, 45)]
+    rows = [(i, prose(rng, 120, 3000), "en", f"s{i % 4}") for i in range(100, 125)]
+    rows += [(None, rows[0][1], "en", None), (None, rows[1][1] + " more", "en", "a"), (None, items[0] + " " + prose(rng, 60, 3000), "en", "a"), (130, prose(rng, 90, 3000) + " " + items[1], "fr", ""), (131, "x " * 40_000, "en", "a")]
+    rows = [*odd, *rows, rows[2], rows[2]]
+    docs = make(spark, rows).coalesce(1)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    taken = collections.Counter((r.doc_id, r.text) for r in got if r.repeat in (None, 0))
+    assert taken == collections.Counter(_brute_pipeline(rows, items))
+    assert all((r.position is None) == (r.taken == 0) for r in got)
+    stage = docs.limit(0)
+    for _, f in corpus_pipeline.STAGES:
+        stage = f(spark, stage, str(tmp_path))
+        assert stage.count() == 0
