@@ -1,7 +1,7 @@
 """Five corpus stages over ``documents``: rules, near duplicates, benchmark leaks, secrets, mixing.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor
-kept.  ``run`` writes each stage as Parquet in the shared folder and rereads it.
+kept; an empty table stays empty, columns beside those of documents are not read.  ``run`` writes each stage as Parquet in the shared folder and rereads it.
 The stages use MinHash and a latent space, which SQL cannot express, so
 ORACLE_SQL is None and the tests hold the stages against brute force.
 """
@@ -14,31 +14,54 @@ from wayloom.llm import curriculum, decontaminate, near_dedup, quality_rules, se
 from wayloom.llm.scratch import Scratch
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+ROW = "_row"
+
+
+def _keyed(spark: SparkSession, docs: DataFrame, name: str) -> DataFrame:
+    """The documents with a written row key, which tells rows apart that have no id or share one."""
+    return Scratch(spark, name).save(docs.select(*COLUMNS, F.monotonically_increasing_id().alias(ROW)), "rows")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the current policy of the rule ledger keeps."""
-    return quality_rules.accepted(docs).select(*COLUMNS)
+    """Documents that the current policy of the rule ledger keeps.
+
+    Null and empty texts fail for having too few words; every row is judged
+    alone, whatever its id; columns beside those of documents go.
+    """
+    return quality_rules.accepted(docs.select(*COLUMNS))
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, that with the smallest id."""
-    drop = near_dedup.near_duplicates(docs).where("not kept").select("doc_id")
-    return docs.join(drop.hint("merge"), "doc_id", "left_anti").select(*COLUMNS)
+    """One document of each near-duplicate group, that with the smallest id.
+
+    Rows without an id, and rows that share one, are documents of their own:
+    repeated rows leave one, and a row with an id stays before one without.
+    Texts without a word are in no group and stay.
+    """
+    keyed = _keyed(spark, docs, "dedup")
+    group = near_dedup.near_duplicates(keyed, id_col=ROW).select(F.col("doc_id").alias(ROW), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(ROW).alias("row")))
+    stays = keyed.select(ROW, "doc_id").join(group.hint("merge"), ROW).groupBy("component_id").agg(first.alias("first")).select(F.col("first.row").alias(ROW))
+    return keyed.join(stays.hint("merge"), ROW, "left_semi").select(*COLUMNS)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*COLUMNS)
+    """Documents that hold no benchmark item, rows without an id included; null texts hold none."""
+    keyed = _keyed(spark, docs, "decontaminated")
+    found = decontaminate.leaks(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=ROW).select(F.col("doc_id").alias(ROW)).distinct()
+    return keyed.join(found.hint("merge"), ROW, "left_anti").select(*COLUMNS)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets replaced by the name of their kind; n_chars follows the new text."""
+    """All documents, secrets replaced by the name of their kind; n_chars follows the new text (null for a null text)."""
     return secrets.redact(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in training order, one row for each time the mix takes them; those it leaves out are last and have no position."""
+    """Documents in training order, one row for each time the mix takes them; those it leaves out are last and have no position.
+
+    A null source is a source of its own; texts without a word are taken never.
+    """
     return curriculum.training_order(curriculum.training_rows(docs, extra=("lang", "text", "n_chars")))
 
 
