@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from wayloom.functions import geo
 from wayloom.operators.search import latest_by_key
 
 SCHEMAS = {
@@ -56,3 +57,10 @@ def write_tables(tables: dict[str, DataFrame], root: str, partition: dict[str, s
         if partition and name in partition:
             writer = writer.partitionBy(partition[name])
         writer.parquet(f"{root}/{name}")
+
+
+def new_tiles(jobs: DataFrame, key: str) -> DataFrame:
+    """(key, tile_id, status) of all 1 degree tiles that the boxes (south, west, north, east) of new jobs touch, pending."""
+    span = lambda a, b: F.sequence(F.floor(a).cast("int"), F.floor(b).cast("int"))
+    cells = jobs.withColumn("_y", F.explode(span("south", "north"))).withColumn("_x", F.explode(span("west", "east")))
+    return cells.select(key, geo.dem_stem(F.col("_y").cast("double"), F.col("_x").cast("double")).alias("tile_id"), F.lit("pending").alias("status"))

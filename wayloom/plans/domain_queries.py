@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wayloom.functions import profiles as P
-from wayloom.operators import paths as A, spatial as X
+from wayloom.functions import profiles as P, texts as T
+from wayloom.operators import paths as A, planners, spatial as X
 from wayloom.plans import views as V
+from wayloom.plans.planner_queries import TRIPS, TRUCK, _trips
 from wayloom.plans.registry import register
 from wayloom.plans.relational_queries import RINGS
 from wayloom.plans.views import hav_sql, table
@@ -198,3 +199,77 @@ def route_progress(spark, d):
 @register("node_extent", f"SELECT min(lat) AS south, min(lon) AS west, max(lat) AS north, max(lon) AS east FROM ({V.NODES})")
 def node_extent(spark, d):
     return A.extent(V.nodes(spark, d))
+
+
+@register("update_urls", "SELECT o_orderkey AS id, 'https://download.geofabrik.de/europe/r' || o_custkey || '-latest.osm.pbf' AS latest, format('https://download.geofabrik.de/europe/r{}-updates/{:03d}/{:03d}/{:03d}.osc.gz', o_custkey, (o_orderkey * 977) // 1000000, (o_orderkey * 977 // 1000) % 1000, (o_orderkey * 977) % 1000) AS diff FROM orders")
+def update_urls(spark, d):
+    region = F.concat(F.lit("europe/r"), F.col("o_custkey").cast("string"))
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), T.latest_url(region).alias("latest"), T.diff_url(region, F.col("o_orderkey") * 977).alias("diff"))
+
+
+@register("update_states", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 < 2 THEN o_orderkey END AS sequence, CASE o_orderkey % 4 WHEN 0 THEN '2024-01-15T01:02:03Z' WHEN 1 THEN 't' END AS timestamp FROM orders")
+def update_states(spark, d):
+    k = F.col("o_orderkey").cast("string")
+    text = F.element_at(F.array(F.concat(F.lit("#x\ntimestamp=2024-01-15T01\\:02\\:03Z\n sequenceNumber= "), k), F.concat(F.lit("sequenceNumber=1\nsequenceNumber="), k, F.lit("\ntimestamp=t")), F.lit("timestamp=t"), F.lit("sequenceNumber=x\ntimestamp=t")), (F.col("o_orderkey") % 4).cast("int") + 1)
+    s = T.update_state(text)
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), s["sequence"].alias("sequence"), s["timestamp"].alias("timestamp"))
+
+
+@register("place_documents", """WITH p AS (SELECT p_partkey AS id, p_name || CASE p_partkey % 3 WHEN 0 THEN ' "x"' WHEN 1 THEN ' \\y' ELSE '' END AS name, p_partkey % 90 AS lat FROM part)
+ SELECT id, '{"name":"' || replace(replace(name, '\\', '\\\\'), '"', '\\"') || '","lat":' || CASE WHEN id % 2 = 0 THEN lat::VARCHAR ELSE (lat::DOUBLE + 0.5)::VARCHAR END || ',"lon":10,"kind":"hut"}' AS doc, id % 4 >= 2 AS usable FROM p""")
+def place_documents(spark, d):
+    k = F.col("p_partkey")
+    name = F.concat(F.col("p_name"), F.when(k % 3 == 0, ' "x"').when(k % 3 == 1, " \\y").otherwise(""))
+    doc = T.place_json(name, (k % 90).cast("double") + F.when(k % 2 == 0, 0.0).otherwise(0.5), F.lit(10.0), F.lit("hut"))
+    p = table(spark, d, "part").select(k.alias("id"), doc.alias("doc"))
+    # lists of none to three of the document: two and more are usable
+    many = F.concat(F.lit("["), F.array_join(F.array_repeat("doc", (F.col("id") % 4).cast("int")), ","), F.lit("]"))
+    return p.select("id", "doc", T.waypoints(many).isNotNull().alias("usable"))
+
+
+@register("break_rules", f"""WITH p AS (SELECT p_partkey AS id, {PROFILE} AS profile, p_partkey % 2 = 0 AS main, {V._sql_pick(V.CATEGORY, 'p_partkey % 11')} AS category FROM part)
+ SELECT id, CASE WHEN profile = 'hiking' THEN CASE WHEN main THEN 11.295 ELSE 2.275 END WHEN profile LIKE 'cycling%' THEN CASE WHEN main THEN 28.24 ELSE 5.69 END END::DOUBLE AS next_km, CASE WHEN profile = 'hiking' THEN 40 WHEN profile LIKE 'cycling%' THEN 100 END::DOUBLE AS day_km,
+ CASE WHEN category IN ('rest_area', 'lodging') THEN 20000 WHEN category = 'water' THEN 2000 WHEN category IN ('cabin', 'overnight_facility', 'tent_site') THEN 5000 WHEN category = 'network_hut' THEN 25000 WHEN category = 'restroom' THEN 3000 ELSE 15000 END::DOUBLE AS radius_m FROM p""")
+def break_rules(spark, d):
+    k = F.col("p_partkey")
+    profile = F.element_at(F.array(*map(F.lit, P.PROFILES)), (k % 10).cast("int") + 1)
+    radii = {"water": 2000.0, "cabin": 5000.0, "general": 15_000.0, "network_hut": 25_000.0, "restroom": 3000.0}
+    return table(spark, d, "part").select(
+        k.alias("id"), T.break_distance_km(profile, k % 2 == 0).alias("next_km"), T.day_distance_km(profile).alias("day_km"), T.category_radius_m(V._pick(V.CATEGORY, k % 11), radii).alias("radius_m"))
+
+
+@register("car_ranges", "WITH o AS (SELECT o_orderkey AS id, o_totalprice * 1000 AS j, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE (o_orderkey % 50)::DOUBLE END AS kwh FROM orders), w AS (SELECT id, j / 0.85::DOUBLE / 3600 AS draw, CASE WHEN kwh > 0 THEN kwh ELSE 60 END * 1000 AS wh FROM o) SELECT id, wh::DOUBLE AS capacity_wh, round(draw, 4) AS draw_wh, round(draw / wh * 100, 6) AS pct FROM w")
+def car_ranges(spark, d):
+    k = F.col("o_orderkey")
+    r = T.car_range(F.col("o_totalprice") * 1000, F.when(k % 3 != 0, (k % 50).cast("double")))
+    return table(spark, d, "orders").select(k.alias("id"), r["capacity_wh"].alias("capacity_wh"), R(r["draw_wh"], 4).alias("draw_wh"), R(r["pct"]).alias("pct"))
+
+
+@register("open_debts", f"""WITH RECURSIVE b AS (SELECT driver, day, 1 AS debt, 0::DOUBLE AS rest FROM ({V.DUTY}) WHERE hours >= 5 UNION ALL SELECT driver, day, 0, 24 + hours * 4 FROM ({V.DUTY})), e AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY driver ORDER BY day, debt) AS n FROM b),
+ w AS (SELECT driver, n, CASE WHEN debt = 1 THEN [day] ELSE []::DATE[] END AS owed FROM e WHERE n = 1 UNION ALL SELECT e.driver, e.n, CASE WHEN debt = 1 THEN list_append(owed, day) WHEN rest >= 30 AND len(owed) > 0 THEN owed[2:] ELSE owed END FROM w JOIN e ON e.driver = w.driver AND e.n = w.n + 1),
+ l AS (SELECT driver, arg_max(owed, n) AS owed FROM w GROUP BY driver) SELECT driver, i::INTEGER AS pos, owed[i] AS reduced_on FROM (SELECT *, unnest(range(1, len(owed) + 1)) AS i FROM l)""")
+def open_debts(spark, d):
+    from wayloom.operators import cards
+
+    rests = V.duty(spark, d).select("driver", "day", (F.lit(24.0) + F.col("hours") * 4).alias("hours"))
+    return cards.outstanding(cards.settle(cards.new_debts(V.duty(spark, d).where("hours >= 5").select("driver", "day")), rests)).select("driver", "pos", "reduced_on")
+
+
+@register("committed_plans", f"""WITH t AS (SELECT driver, max(req_id) AS req_id FROM ({TRIPS}) GROUP BY driver), n AS (SELECT t.driver, p.date AS day, p.driving_hours AS hours FROM t JOIN ({TRUCK}) p USING (req_id)), z AS (SELECT driver, max(day) AS last FROM n GROUP BY driver),
+ b AS (SELECT driver, day, sum(hours) AS hours FROM (FROM ({V.DUTY}) UNION ALL FROM n) GROUP BY ALL) SELECT b.driver, b.day, round(b.hours, 6) AS hours FROM b JOIN z USING (driver) WHERE b.day >= z.last - 21""")
+def committed_plans(spark, d):
+    """Histories after each driver's last trip is planned and driven."""
+    h, trips = V.duty(spark, d), _trips(spark, d)
+    own = trips.join(trips.groupBy("driver").agg(F.max("req_id").alias("req_id")).select("req_id"), "req_id", "left_semi")
+    plan = planners.plan_truck(own, h).join(own.select("req_id", "driver"), "req_id").select("driver", F.col("date").alias("day"), F.col("driving_hours").alias("hours"))
+    return A.record_hours(h, plan).select("driver", "day", R(F.col("hours")).alias("hours"))
+
+
+@register("job_tiles", """WITH j AS (SELECT s_suppkey AS job, (s_suppkey * 7 % 60)::DOUBLE + 0.25 AS south, (s_suppkey * 11 % 80)::DOUBLE - 40 AS west FROM supplier), y AS (SELECT *, unnest(range(floor(south)::BIGINT, floor(south + 1.5)::BIGINT + 1)) AS lat FROM j), t AS (SELECT *, unnest(range(floor(west)::BIGINT, floor(west + 2.2)::BIGINT + 1)) AS lon FROM y)
+ SELECT job, CASE WHEN lat < 0 THEN 'S' ELSE 'N' END || lpad(abs(lat)::VARCHAR, 2, '0') || CASE WHEN lon < 0 THEN 'W' ELSE 'E' END || lpad(abs(lon)::VARCHAR, 3, '0') AS tile_id, 'pending' AS status FROM t""")
+def job_tiles(spark, d):
+    from wayloom.operators import stores
+
+    k = F.col("s_suppkey")
+    jobs = table(spark, d, "supplier").select(k.alias("job"), ((k * 7 % 60).cast("double") + 0.25).alias("south"), ((k * 11 % 80).cast("double") - 40).alias("west"))
+    return stores.new_tiles(jobs.withColumns({"north": F.col("south") + 1.5, "east": F.col("west") + 2.2}), "job")
