@@ -72,6 +72,34 @@ def turns(path: DataFrame, outs: DataFrame, key: str = "req_id") -> DataFrame:
     return g.select(key, "pos", "node", F.col("delta"), "ways", "sharper", kind.alias("kind"), roads.maneuver_icon(kind, F.col("delta")).alias("icon"))
 
 
+def destinations(path: DataFrame, key: str = "req_id") -> DataFrame:
+    """(key, pos, node, kind, icon) of each path's last node, which ends the list of maneuvers."""
+    last = path.groupBy(key).agg(F.max(F.struct("pos", "node")).alias("z")).select(key, "z.pos", "z.node", F.lit("destination").alias("kind"))
+    return last.withColumn("icon", roads.maneuver_icon(F.col("kind"), F.lit(0.0)))
+
+
+def roundabout_exits(path: DataFrame, outs: DataFrame, spans: DataFrame, key: str = "req_id") -> DataFrame:
+    """(key, first, last, exit): the number, 1 to 8, of the exit by which a path leaves a roundabout.
+
+    path: (key, pos, node, lat, lon); outs: (node, to, to_lat, to_lon, is_ring); spans: (key, first, last),
+    the positions of entry and leaving.  Ways out that are no ring edge and do not lead back count from the
+    entry's next node on; at the leaving node those to the right of the way taken (the larger change of
+    bearing) and that way itself.  Where the way taken is none of them, all count.
+    """
+    w = W.partitionBy(key).orderBy("pos")
+    step = path.withColumns({"p_node": F.lag("node").over(w), "p_lat": F.lag("lat").over(w), "p_lon": F.lag("lon").over(w), "n_node": F.lead("node").over(w)}).where("p_node is not null")
+    inside = spans.select(key, "first", "last").join(step, key).where("pos > first and pos <= last")
+    o = outs.where(~F.col("is_ring")).select(F.col("node").alias("o_node"), "to", "to_lat", "to_lon").distinct()
+    inbound = geo.bearing_deg(F.col("p_lat"), F.col("p_lon"), F.col("lat"), F.col("lon"))
+    turn = geo.turn_delta_deg(inbound, geo.bearing_deg(F.col("lat"), F.col("lon"), F.col("to_lat"), F.col("to_lon")))
+    met = inside.join(o, (F.col("node") == F.col("o_node")) & (F.col("to") != F.col("p_node"))).withColumn("turn", turn)
+    taken = F.max(F.when((F.col("pos") == F.col("last")) & (F.col("to") == F.col("n_node")), F.struct("turn", "to"))).over(W.partitionBy(key, "first", "last"))
+    met = met.withColumn("taken", taken)
+    counts = (F.col("pos") < F.col("last")) | F.col("taken").isNull() | (F.col("turn") > F.col("taken.turn")) | ((F.col("turn") == F.col("taken.turn")) & (F.col("to") <= F.col("taken.to")))
+    n = met.groupBy(key, "first", "last").agg(F.count_if(counts).alias("n"))
+    return spans.select(key, "first", "last").join(n, [key, "first", "last"], "left").select(key, "first", "last", F.greatest(F.lit(1), F.least(F.lit(8), F.coalesce("n", F.lit(0)))).cast("int").alias("exit"))
+
+
 def runs(rows: DataFrame, flag: Column, key: str = "req_id") -> DataFrame:
     """Maximal runs of rows with the flag: (key, first, last, n)."""
     w = W.partitionBy(key).orderBy("pos")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from wayloom.functions import profiles as P, texts as T
 from wayloom.operators import paths as A, planners, spatial as X
@@ -273,3 +273,33 @@ def job_tiles(spark, d):
     k = F.col("s_suppkey")
     jobs = table(spark, d, "supplier").select(k.alias("job"), ((k * 7 % 60).cast("double") + 0.25).alias("south"), ((k * 11 % 80).cast("double") - 40).alias("west"))
     return stores.new_tiles(jobs.withColumns({"north": F.col("south") + 1.5, "east": F.col("west") + 2.2}), "job")
+
+
+def _bearing(a_lat, a_lon, b_lat, b_lon):
+    y = f"sin(radians({b_lon} - {a_lon})) * cos(radians({b_lat}))"
+    x = f"cos(radians({a_lat})) * sin(radians({b_lat})) - sin(radians({a_lat})) * cos(radians({b_lat})) * cos(radians({b_lon} - {a_lon}))"
+    return f"((degrees(atan2({y}, {x})) + 360) % 360)"
+
+
+NODE = f"SELECT l_orderkey AS req_id, l_linenumber AS pos, l_partkey AS node, {V._sql_lat('l_partkey')} AS lat, {V._sql_lon('l_partkey')} AS lon, l_quantity AS qty FROM {V.LINES}"
+WAYS = f"SELECT p_partkey AS node, (p_partkey * 7 + j * 13) % (SELECT count(*) FROM part) + 1 AS dest, j = 0 AND p_partkey % 2 = 0 AS is_ring FROM (SELECT *, unnest([0, 1, 2, 3]) AS j FROM part)"
+
+
+@register("roundabout_exits", f"""WITH p AS (SELECT *, lag(node) OVER w AS p_node, lag(lat) OVER w AS p_lat, lag(lon) OVER w AS p_lon, lead(node) OVER w AS n_node FROM ({NODE}) WINDOW w AS (PARTITION BY req_id ORDER BY pos)),
+ o AS (SELECT DISTINCT node AS o_node, dest, {V._sql_lat('dest')} AS to_lat, {V._sql_lon('dest')} AS to_lon FROM (SELECT node, dest FROM ({WAYS}) WHERE NOT is_ring UNION ALL SELECT node, n_node FROM p WHERE n_node IS NOT NULL)),
+ s AS (SELECT req_id, min(pos) AS first, max(pos) AS last FROM (SELECT *, sum(CASE WHEN qty > 15 THEN 0 ELSE 1 END) OVER (PARTITION BY req_id ORDER BY pos) AS island FROM p) WHERE qty > 15 GROUP BY req_id, island),
+ m AS (SELECT s.*, p.pos, p.n_node, o.dest, (({_bearing('lat', 'lon', 'to_lat', 'to_lon')} - {_bearing('p_lat', 'p_lon', 'lat', 'lon')} + 540) % 360) - 180 AS turn FROM s JOIN p ON p.req_id = s.req_id AND p.pos > s.first AND p.pos <= s.last JOIN o ON o.o_node = p.node AND o.dest <> p.p_node),
+ r AS (SELECT *, row_number() OVER (PARTITION BY req_id, first, last, pos ORDER BY turn DESC, dest) AS nth, count(*) OVER (PARTITION BY req_id, first, last, pos) AS here FROM m),
+ g AS (SELECT req_id, first, last, count(*) FILTER (pos < last) + coalesce(max(CASE WHEN pos = last AND dest = n_node THEN nth END), count(*) FILTER (pos = last)) AS n FROM r GROUP BY ALL)
+ SELECT s.req_id, s.first, s.last, greatest(1, least(8, coalesce(g.n, 0)))::INTEGER AS exit FROM s LEFT JOIN g ON g.req_id = s.req_id AND g.first = s.first AND g.last = s.last""")
+def roundabout_exits(spark, d):
+    from wayloom.operators import sequences as Q
+
+    k = F.col("l_partkey")
+    path = V.lines(spark, d).select(F.col("l_orderkey").alias("req_id"), F.col("l_linenumber").alias("pos"), k.alias("node"), V._lat(k).alias("lat"), V._lon(k).alias("lon"), F.col("l_quantity").alias("qty"))
+    n = table(spark, d, "part").agg(F.count("*").alias("n"))
+    j = F.explode(F.array(*map(F.lit, range(4)))).alias("j")
+    ways = table(spark, d, "part").select("p_partkey", j).crossJoin(F.broadcast(n)).select(F.col("p_partkey").alias("node"), ((F.col("p_partkey") * 7 + F.col("j") * 13) % F.col("n") + 1).alias("to"), ((F.col("j") == 0) & (F.col("p_partkey") % 2 == 0)).alias("is_ring"))
+    nxt = path.select(F.col("req_id"), "pos", "node", F.lead("node").over(Window.partitionBy("req_id").orderBy("pos")).alias("to")).where("to is not null").select("node", "to", F.lit(False).alias("is_ring"))
+    outs = ways.unionByName(nxt).withColumns({"to_lat": V._lat(F.col("to")), "to_lon": V._lon(F.col("to"))})
+    return Q.roundabout_exits(path, outs, Q.runs(path, F.col("qty") > 15))
