@@ -6,7 +6,7 @@ from importlib import import_module
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
-MODULES = ("scalar_queries", "relational_queries", "graph_queries", "planner_queries", "domain_queries")
+MODULES = ("scalar_queries", "relational_queries", "graph_queries", "planner_queries", "domain_queries", "feature_queries")
 
 
 def register(name: str, sql: str | None = None):
