@@ -141,3 +141,25 @@ def progress(samples: DataFrame, key: str = "req_id") -> DataFrame:
 def extent(points: DataFrame) -> DataFrame:
     """One row: south, west, north, east of all points; null without any."""
     return points.agg(F.min("lat").alias("south"), F.min("lon").alias("west"), F.max("lat").alias("north"), F.max("lon").alias("east"))
+
+
+PAUSE_CATEGORIES = ("rest_area", "general", "restroom", "overnight_facility", "cabin")
+ROAD_LINK_M = 1000.0
+
+
+def motor_pauses(targets: DataFrame, pois: DataFrame, vertices: DataFrame, radius_m: float) -> DataFrame:
+    """Every target (target_id, lat, lon) with its pause: poi_id, name, kind, lat, lon.
+
+    Places (poi_id, lat, lon, category, name) count within the radius if they stand on the route (a vertex within
+    ROAD_LINK_M).  Named ones come first, then rest areas, then the nearer, then the smaller id; without any the
+    pause is a rest stop at the target itself.
+    """
+    own = pois.where(F.col("category").isin(*PAUSE_CATEGORIES)).select("poi_id", "lat", "lon", "category", F.trim(F.coalesce("name", F.lit(""))).alias("name"))
+    linked = own.join(spatial.radius_join(own.select("poi_id", "lat", "lon"), vertices.select("lat", "lon").distinct(), ROAD_LINK_M).select("poi_id").distinct(), "poi_id", "left_semi")
+    near = spatial.radius_join(targets.select("target_id", "lat", "lon"), linked, radius_m)
+    rank = F.struct((F.col("name") == "").alias("a"), (F.col("category") != "rest_area").alias("b"), F.round("dist_m", 3).alias("c"), F.col("poi_id").alias("d"))
+    best = near.groupBy("target_id").agg(F.min_by(F.struct("poi_id", "name", "category", "r_lat", "r_lon"), rank).alias("m"))
+    m = F.col("m")
+    kind = F.when(m["category"] == "rest_area", "rest_area").when(m["category"].isin("overnight_facility", "cabin"), "hut").otherwise("amenity")
+    name = F.when(m.isNull(), "Rest stop").when(m["name"] == "", F.concat(F.lit("Stop "), m["poi_id"].cast("string"))).otherwise(m["name"])
+    return targets.join(best, "target_id", "left").select("target_id", m["poi_id"].alias("poi_id"), name.alias("name"), kind.alias("kind"), F.coalesce(m["r_lat"], "lat").alias("lat"), F.coalesce(m["r_lon"], "lon").alias("lon"))

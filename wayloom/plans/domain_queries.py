@@ -303,3 +303,17 @@ def roundabout_exits(spark, d):
     nxt = path.select(F.col("req_id"), "pos", "node", F.lead("node").over(Window.partitionBy("req_id").orderBy("pos")).alias("to")).where("to is not null").select("node", "to", F.lit(False).alias("is_ring"))
     outs = ways.unionByName(nxt).withColumns({"to_lat": V._lat(F.col("to")), "to_lon": V._lon(F.col("to"))})
     return Q.roundabout_exits(path, outs, Q.runs(path, F.col("qty") > 15))
+
+
+PLACE = f"SELECT poi_id, lat, lon, category, CASE WHEN poi_id % 3 = 0 THEN ' ' ELSE name END AS name FROM ({V.POIS})"
+
+
+@register("motor_pauses", f"""WITH p AS (SELECT * FROM ({PLACE}) p WHERE category IN ('rest_area', 'general', 'restroom', 'overnight_facility', 'cabin') AND EXISTS (SELECT 1 FROM ({V.NODES}) q WHERE {H} <= 1000)),
+ c AS (SELECT n.id AS target_id, p.*, round({hav_sql('n.lat', 'n.lon', 'p.lat', 'p.lon', 6371008.8)}, 3) AS d FROM ({V.NODES}) n JOIN p ON {hav_sql('n.lat', 'n.lon', 'p.lat', 'p.lon', 6371008.8)} <= 9000),
+ b AS (SELECT target_id, arg_min(poi_id, (trim(name) = '', category <> 'rest_area', d, poi_id)) AS poi_id FROM c GROUP BY target_id)
+ SELECT n.id AS target_id, b.poi_id, CASE WHEN b.poi_id IS NULL THEN 'Rest stop' WHEN trim(p.name) = '' THEN 'Stop ' || b.poi_id ELSE p.name END AS name, CASE WHEN p.category = 'rest_area' THEN 'rest_area' WHEN p.category IN ('overnight_facility', 'cabin') THEN 'hut' ELSE 'amenity' END AS kind, coalesce(p.lat, n.lat) AS lat, coalesce(p.lon, n.lon) AS lon
+ FROM ({V.NODES}) n LEFT JOIN b ON b.target_id = n.id LEFT JOIN ({PLACE}) p ON p.poi_id = b.poi_id""")
+def motor_pauses(spark, d):
+    n = V.nodes(spark, d)
+    p = V.pois(spark, d).withColumn("name", F.when(F.col("poi_id") % 3 == 0, " ").otherwise(F.col("name")))
+    return A.motor_pauses(n.select(F.col("id").alias("target_id"), "lat", "lon"), p, n, 9000.0)
