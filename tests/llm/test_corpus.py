@@ -631,6 +631,7 @@ def test_pipeline_equals_brute_force_and_copes_with_odd_rows(spark, odd, tmp_pat
     assert taken == collections.Counter(_brute_pipeline(rows, items))
     assert all((r.position is None) == (r.taken == 0) for r in got)
     stage = docs.limit(0)
-    for _, f in corpus_pipeline.STAGES:
-        stage = f(spark, stage, str(tmp_path))
+    for name, f in corpus_pipeline.STAGES:
+        f(spark, stage, str(tmp_path)).write.parquet(str(tmp_path / name))
+        stage = spark.read.parquet(str(tmp_path / name))
         assert stage.count() == 0

@@ -369,6 +369,7 @@ def near_duplicates(
         found = connected_components(links.union(across), scratch)
     named = scratch.save(
         classes.join(found, F.col("rep") == F.col("node"), "left").select("f1", "f2", "n_shingles", F.coalesce("component", "rep").alias("component_id")), "named")
+    scratch.free(signed, named)
     member = signed.select("doc_id", "n_shingles", "f1", "f2").join(named.hint("merge"), ["f1", "f2", "n_shingles"], "left")
     return member.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

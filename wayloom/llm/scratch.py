@@ -11,6 +11,8 @@ import atexit
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,13 +37,29 @@ def delete_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+_recording: list[list["Scratch"]] = []
+
+
+@contextmanager
+def recorded() -> Iterator[list["Scratch"]]:
+    """The scratch folders that are made inside the block."""
+    own: list[Scratch] = []
+    _recording.append(own)
+    try:
+        yield own
+    finally:
+        _recording.pop()
+
+
 class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self._n = 0
-        self._paths: dict[int, str] = {}
-        atexit.register(self._clean)
+        self._saved: list[str] = []
+        atexit.register(self.clean)
+        if _recording:
+            _recording[-1].append(self)
 
     def path(self, name: str) -> str:
         self._n += 1
@@ -51,17 +69,25 @@ class Scratch:
         path = self.path(name)
         df.write.mode("overwrite").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(out)] = path
         out._wayloom_path = path
+        self._saved.append(path)
         return out
 
     def drop(self, *tables: DataFrame) -> None:
         for df in tables:
             path = getattr(df, "_wayloom_path", None)
-            if path:
+            if path in self._saved:
+                self._saved.remove(path)
                 delete_path(self.spark, path)
 
-    def _clean(self) -> None:
+    def free(self, *kept: DataFrame) -> None:
+        """Drops all saved tables but these."""
+        keep = {getattr(df, "_wayloom_path", None) for df in kept}
+        for path in [p for p in self._saved if p not in keep]:
+            self._saved.remove(path)
+            delete_path(self.spark, path)
+
+    def clean(self) -> None:
         try:
             delete_path(self.spark, self.root)
         except Exception:  # the session may have ended first
