@@ -333,7 +333,7 @@ def test_nearest_vectors_have_no_cap(spark, monkeypatch):
 def test_vector_topk_answers_all_its_queries(spark, tmp_path):
     from wayloom.plans import registry
 
-    n = 50 * 1100
+    n = 20 * 1100
     spark.range(n).selectExpr("id as vec_id", "array(cast(id as float), cast(0 as float)) as embedding").write.parquet(str(tmp_path / "embeddings.parquet"))
     got = registry.queries()["vector_topk"](spark, str(tmp_path))
     assert got.select("q_id").distinct().count() == 1100 and got.count() == 5500
