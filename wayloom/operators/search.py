@@ -101,9 +101,9 @@ def _nearest_in(ids: np.ndarray, queries: np.ndarray, k: int):
 def nearest_vectors(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(q_id, vec_id, dist): the k rows of ``vectors`` nearest to each of ``queries`` (vec_id, embedding), distance to 4 places, then id.
 
-    Queries may have any number: they are taken in blocks of QUERY_BLOCK, and each partition sends only its own nearest rows on.
+    Rows without an id or a vector are left out.  Queries may have any number: they are taken in blocks of QUERY_BLOCK, and each partition sends only its own nearest rows on.
     """
-    rows = vectors.select(F.col("vec_id").cast("long"), "embedding").where("embedding is not null")
+    rows = vectors.select(F.col("vec_id").cast("long"), "embedding").where("vec_id is not null and embedding is not null")
     found, block = [], []
 
     def flush():
@@ -111,7 +111,7 @@ def nearest_vectors(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame
         found.append(rows.mapInArrow(near, "q_id long, vec_id long, dist double"))
         block.clear()
 
-    for q in queries.select(F.col("vec_id").cast("long"), "embedding").where("embedding is not null").toLocalIterator():
+    for q in queries.select(F.col("vec_id").cast("long"), "embedding").where("vec_id is not null and embedding is not null").toLocalIterator():
         block.append((q[0], q[1]))
         if len(block) == QUERY_BLOCK:
             flush()
