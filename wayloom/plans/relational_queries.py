@@ -217,8 +217,8 @@ def track_latest(spark, d):
 @register("track_expired", f"WITH l AS (SELECT station, max(t) AS t FROM ({V.FIXES}) GROUP BY station), m AS (SELECT max(t) AS z FROM l) SELECT station FROM l, m WHERE z - 3000 - t > 3600")
 def track_expired(spark, d):
     l = tracks.latest(V.fixes(spark, d))
-    now = l.agg(F.max("t")).first()[0] - 3000
-    return tracks.expire(l, now, 9999).select("station")
+    now = l.agg((F.max("t") - 3000).alias("now"))  # one row
+    return tracks.expire(l.crossJoin(F.broadcast(now)), F.col("now"), 9999).select("station")
 
 
 @register("track_visible", f"WITH l AS (SELECT station, arg_max(lat, (t, event_id)) AS lat, arg_max(lon, (t, event_id)) AS lon FROM ({V.FIXES}) GROUP BY station) SELECT station FROM l WHERE {hav_sql('60::DOUBLE', '11::DOUBLE', 'lat', 'lon', 6371000.0)} <= 150000")
