@@ -115,7 +115,7 @@ def _edge_path(spark, d):
 
 
 @register("path_energy", f"""WITH e AS (SELECT req_id, coalesce(climb, 0) AS dh, greatest({FLAT} + 1500 * 9.80665::DOUBLE * CASE WHEN coalesce(climb, 0) >= 0 THEN coalesce(climb, 0) ELSE climb * 0.4::DOUBLE END, {FLAT} * 0.01::DOUBLE) AS j FROM ({EDGE}))
- SELECT req_id, round(sum(greatest(dh, 0)), 3) AS climb_m, round(sum(greatest(-dh, 0)), 3) AS descent_m, round(sum(j) FILTER (dh >= 0) / 1000000, 3) AS uphill_mj, round(coalesce(sum(j) FILTER (dh < 0), 0) / 1000000, 3) AS downhill_mj,
+ SELECT req_id, round(sum(greatest(dh, 0)), 3) AS climb_m, round(sum(greatest(-dh, 0)), 3) AS descent_m, round(coalesce(sum(j) FILTER (dh >= 0), 0) / 1000000, 3) AS uphill_mj, round(coalesce(sum(j) FILTER (dh < 0), 0) / 1000000, 3) AS downhill_mj,
  round(sum(greatest(-dh, 0)) * 0.4::DOUBLE * 1500 * 9.80665::DOUBLE / 1000000, 3) AS regen_mj, round(sum(j) / 1000000, 3) AS net_mj FROM e GROUP BY req_id""")
 def path_energy(spark, d):
     from wayloom.functions.energy import Eco
