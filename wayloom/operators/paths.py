@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from wayloom.functions import energy, geo
 from wayloom.operators import spatial
+from wayloom.operators.lineage import cut
 
 FALLBACK_KMH = 50.0
 OVERNIGHT_KM, RANK_KM = 25.0, 5.0
@@ -115,8 +116,9 @@ def record_hours(history: DataFrame, driven: DataFrame, keep_days: int = KEEP_DA
 
 def wetland_classes(points: DataFrame, rings: DataFrame, size_deg: float, point_id: str) -> DataFrame:
     """(point_id, wetland): hard or soft of the points in some ring (ring_id, ring, hard); hard wins where rings overlap."""
-    hit = spatial.points_in_rings(points, spatial.ring_bounds(rings), size_deg, point_id).join(rings.select("ring_id", "hard"), "ring_id")
-    return hit.groupBy(point_id).agg(F.when(F.bool_or("hard"), "hard").otherwise("soft").alias("wetland"))
+    own = cut(rings.groupBy("ring").agg(F.min("ring_id").alias("ring_id"), F.bool_or("hard").alias("hard")))
+    place = spatial.places_in_rings(points, own, size_deg).join(own.select("ring_id", "hard"), "ring_id").groupBy("lat", "lon").agg(F.bool_or("hard").alias("hard"))
+    return points.select(point_id, "lat", "lon").join(place, ["lat", "lon"]).groupBy(point_id).agg(F.when(F.bool_or("hard"), "hard").otherwise("soft").alias("wetland"))
 
 
 def wetland_edges(edges: DataFrame, rings: DataFrame, size_deg: float, edge_id: str = "edge_idx") -> DataFrame:
@@ -155,10 +157,15 @@ def motor_pauses(targets: DataFrame, pois: DataFrame, vertices: DataFrame, radiu
     pause is a rest stop at the target itself.
     """
     own = pois.where(F.col("category").isin(*PAUSE_CATEGORIES)).select("poi_id", "lat", "lon", "category", F.trim(F.coalesce("name", F.lit(""))).alias("name"))
-    linked = own.join(spatial.radius_join(own.select("poi_id", "lat", "lon"), vertices.select("lat", "lon").distinct(), ROAD_LINK_M).select("poi_id").distinct(), "poi_id", "left_semi")
-    near = spatial.radius_join(targets.select("target_id", "lat", "lon"), linked, radius_m)
-    rank = F.struct((F.col("name") == "").alias("a"), (F.col("category") != "rest_area").alias("b"), F.round("dist_m", 3).alias("c"), F.col("poi_id").alias("d"))
-    best = near.groupBy("target_id").agg(F.min_by(F.struct("poi_id", "name", "category", "r_lat", "r_lon"), rank).alias("m"))
+    # of the places at one point only the first by this order can be picked, from wherever
+    plain = ((F.col("name") == "").alias("a"), (F.col("category") != "rest_area").alias("b"))
+    own = own.groupBy("lat", "lon").agg(F.min(F.struct(*plain, "poi_id", "name", "category")).alias("m")).select("lat", "lon", "m.poi_id", "m.name", "m.category")
+    linked = spatial.radius_join(own, vertices.select("lat", "lon").distinct(), ROAD_LINK_M, how="left_semi")
+    near = spatial.radius_join(targets.select("lat", "lon").distinct(), linked, radius_m)
+    rank = F.struct(*plain, F.round("dist_m", 3).alias("c"), F.col("poi_id").alias("d"))
+    pick = F.min(F.struct(rank.alias("rank"), "poi_id", "name", "category", "r_lat", "r_lon")).alias("m")
+    place = near.groupBy("lat", "lon").agg(pick).select("lat", "lon", "m.*")
+    best = targets.select("target_id", "lat", "lon").join(place, ["lat", "lon"]).groupBy("target_id").agg(F.min(F.struct("rank", "poi_id", "name", "category", "r_lat", "r_lon")).alias("m"))
     m = F.col("m")
     kind = F.when(m["category"] == "rest_area", "rest_area").when(m["category"].isin("overnight_facility", "cabin"), "hut").otherwise("amenity")
     name = F.when(m.isNull(), "Rest stop").when(m["name"] == "", F.concat(F.lit("Stop "), m["poi_id"].cast("string"))).otherwise(m["name"])
