@@ -347,3 +347,16 @@ def test_planners_take_every_trip(spark, name):
     want = views.nodes(spark, d).select("id") if name == "hut_days" else planner_queries._trips(spark, d).select("req_id")
     got = registry.queries()[name](spark, d).select("req_id").distinct()
     assert sorted(got.collect()) == sorted(want.distinct().collect())
+
+
+def test_equal_hikes_are_planned_once(spark, monkeypatch):
+    from wayloom.operators import hiking
+
+    seen = []
+    monkeypatch.setattr(hiking, "_one_day", lambda todo, *a, f=hiking._one_day: seen.append(todo.count()) or f(todo, *a))
+    s = spark.sql("select t.id as req_id, p.id as pos, 60 + p.id * 0.1 as lat, 10D as lon, p.id * 11120D as cum_m from range(3) t, range(5) p").withColumn("lat", F.col("lat").cast("double"))
+    h = spark.createDataFrame([(i, 60.2, 10.0, False, False) for i in (7, 5)], "hut_id long, lat double, lon double, is_network boolean, rejected boolean")
+    got = {r.req_id: set() for r in s.collect()}
+    for x in hiking.plan_hikes(s, h).collect():
+        got[x.req_id].add((x.day, x.start_km, x.end_km, x.hut_id, x.gap))
+    assert got[0] == got[1] == got[2] and {5} == {x[3] for x in got[0]} - {None} and set(seen) <= {0, 1}

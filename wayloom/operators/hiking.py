@@ -37,8 +37,8 @@ def choose_overnight(targets: DataFrame, huts: DataFrame, rules: HutRules = HutR
     near = near.where((F.col("is_network") & (F.col("dist_m") <= rules.network_m)) | (F.col("dist_m") <= rules.cabin_m))
     preferred = F.col("is_network") & (F.col("dist_m") <= rules.prefer_network_m)
     rank = F.struct(F.col("rejected"), ~preferred, F.col("is_network"), F.round("dist_m", 3), F.col("hut_id"))
-    w = W.partitionBy("target_id").orderBy(rank)
-    return near.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("target_id", "hut_id", "is_network", "rejected", F.round("dist_m", 3).alias("dist_m"))
+    best = near.groupBy("target_id").agg(F.min(F.struct(rank.alias("rank"), "hut_id", "is_network", "rejected", F.round("dist_m", 3).alias("dist_m"))).alias("m"))
+    return best.select("target_id", "m.hut_id", "m.is_network", "m.rejected", "m.dist_m")
 
 
 def _merged(best: Column, new: Column, slack: float) -> Column:
@@ -92,7 +92,11 @@ def plan_hikes(samples: DataFrame, huts: DataFrame, most_km: float = 40.0, rules
     are gaps with a null hut; huts with null coordinates are never chosen; an
     empty table gives an empty result.
     """
-    samples = cut(samples.select("req_id", "pos", "lat", "lon", "cum_m"))
+    # trips over the same samples are planned once, and of equal huts at one place only the smallest id can be chosen
+    shape = samples.groupBy("req_id").agg(F.array_sort(F.collect_list(F.struct("cum_m", "lat", "lon"))).alias("shape"))
+    trips = cut(shape.select("req_id", F.min("req_id").over(W.partitionBy("shape")).alias("first")))
+    samples = cut(samples.join(trips.where("req_id = first"), "req_id", "left_semi").select("req_id", "pos", "lat", "lon", "cum_m"))
+    huts = cut(huts.groupBy("lat", "lon", "is_network", "rejected").agg(F.min("hut_id").alias("hut_id")))
     total = samples.groupBy("req_id").agg((F.max("cum_m") / 1000).alias("total_km"))
     todo = cut(total.where("total_km > 0.01").select("req_id", F.lit(0.0).alias("start_km"), "total_km", F.lit(1).alias("day")))
     done = []
@@ -110,4 +114,4 @@ def plan_hikes(samples: DataFrame, huts: DataFrame, most_km: float = 40.0, rules
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out
+    return trips.join(out.withColumnRenamed("req_id", "first"), "first").select("req_id", "day", "start_km", "end_km", "hut_id", "gap")
