@@ -116,8 +116,7 @@ def record_hours(history: DataFrame, driven: DataFrame, keep_days: int = KEEP_DA
 
 def wetland_classes(points: DataFrame, rings: DataFrame, size_deg: float, point_id: str) -> DataFrame:
     """(point_id, wetland): hard or soft of the points in some ring (ring_id, ring, hard); hard wins where rings overlap."""
-    own = cut(rings.groupBy("ring").agg(F.min("ring_id").alias("ring_id"), F.bool_or("hard").alias("hard")))
-    place = spatial.places_in_rings(points, own, size_deg).join(own.select("ring_id", "hard"), "ring_id").groupBy("lat", "lon").agg(F.bool_or("hard").alias("hard"))
+    place = spatial.places_with_flag(points, rings, size_deg, "hard")
     return points.select(point_id, "lat", "lon").join(place, ["lat", "lon"]).groupBy(point_id).agg(F.when(F.bool_or("hard"), "hard").otherwise("soft").alias("wetland"))
 
 
