@@ -403,6 +403,37 @@ def test_contexts_tell_order_and_lower_perplexity(spark):
     assert straight > shuffled + 100 and straight > without + 100
 
 
+def test_every_previous_word_has_a_restaurant(spark, monkeypatch):
+    """Words beyond the CONTEXT_WORDS most frequent are contexts too, whatever part their followers are in."""
+    monkeypatch.setattr(pitman_yor, "PART_TOKENS", 60_000)
+    fill = [f"f{i:05d}" for i in range(66_000)]
+    after = {"zone": ["f00001"] * 2 + ["zrare"], "ztwo": ["f00002"] * 2, "zthree": ["f00001"]}
+    train = [" ".join(fill[i : i + 11_000] * 4) for i in range(0, len(fill), 11_000)] + [f"{u} {w}" for u, ws in after.items() for w in ws]
+    held = [f"{u} {w}" for u in (*after, "zunseen") for w in ("f00001", "f00002", "zrare")]
+    rows = spark.createDataFrame([(-1, t, True, False) for t in train] + [(i, t, False, True) for i, t in enumerate(held)], "doc_id long, text string, train boolean, wanted boolean")
+    model, table = pitman_yor.fitted(rows, Scratch(spark, "py-test"))
+    states = table.where("state is not null").collect()
+    assert len(states) > 2 and len(set(after) & set(model.words.to_pylist())) == 0
+    g, d, seen = model.totals[-1], model.d[1], []
+    for row in states:
+        part = pitman_yor.Part(bytes(row.state), row.part)
+        for i, x in enumerate(model.totals[1:-1]):
+            part.sweep(model, x, i)
+        root, got = part._root_price(model, g), part.prices(model, g)
+        for k in np.flatnonzero(part.rest):
+            c, customers, tables = int(part.c[k]), int(part.rest_c[k]), int(part.rest_t[k])
+            assert abs(got[k] - (c - d * min(c, 1) + (1 + d * tables) * root[part.word[k]]) / (1 + customers)) < 1e-15
+            i = int(part.ids[part.word[k]])
+            r = int((part.ids[: part.word[k]] == 0).sum())
+            word = model.words[i - pitman_yor.START - 1].as_py() if i else part.buf[part.starts[r] : part.ends[r]].tobytes().decode()
+            seen.append((word, c, customers, tables))
+    pairs = lambda u: [(w, after.get(u, []).count(w), len(after.get(u, [])), len(set(after.get(u, [])))) for w in ("f00001", "f00002", "zrare")]
+    want = [x for u in (*after, "zunseen") for x in pairs(u)]
+    assert set(want) <= set(seen) and collections.Counter(x for x in seen if x[0] == "f00001") == collections.Counter(x for x in want if x[0] == "f00001")
+    score = {held[r.doc_id]: r.score for r in pitman_yor.scored(rows).collect()}
+    assert score["zone f00001"] + score["ztwo f00002"] > score["zone f00002"] + score["ztwo f00001"] + 2
+
+
 def test_seats_are_drawn_from_the_seating_law():
     d, strength, c, n = 0.6, 0.8, 7, 40_000
     s = np.zeros((c + 1, c + 1))
