@@ -360,3 +360,19 @@ def test_equal_hikes_are_planned_once(spark, monkeypatch):
     for x in hiking.plan_hikes(s, h).collect():
         got[x.req_id].add((x.day, x.start_km, x.end_km, x.hut_id, x.gap))
     assert got[0] == got[1] == got[2] and {5} == {x[3] for x in got[0]} - {None} and set(seen) <= {0, 1}
+
+
+def test_hikes_take_one_plan_however_many_days(spark, monkeypatch):
+    """No round of jobs a day; huts beyond the broadcast are planned in rounds, with the same days."""
+    rng = random.Random(21)
+    coords = [(q, i, 60.0 + i * 0.06, (179.9 if q == 3 else 10.0) + rng.random() * 0.2) for q in range(5) for i in range(25)] + [(9, i, None if i == 4 else 60 + i * 0.1, 10.0) for i in range(9)]
+    huts = [(i, 60 + rng.random() * 1.5, rng.choice([10.0, 179.9, -180.0]) + rng.random() * 0.2, rng.choice([True, False, None]), rng.choice([True, False, False, None])) for i in range(80)] + [(200, None, 10.0, True, False)]
+    c = Q.cumulative_m(spark.createDataFrame(coords, "req_id long, pos int, lat double, lon double"))
+    h = spark.createDataFrame(huts, "hut_id long, lat double, lon double, is_network boolean, rejected boolean")
+    days = lambda: sorted((r.req_id, r.day, round(r.start_km, 3), round(r.end_km, 3), r.hut_id or -1, r.gap) for r in hiking.plan_hikes(c, h).collect())
+    seen, f = [], hiking._one_day
+    monkeypatch.setattr(hiking, "_one_day", lambda *a: seen.append(1) or f(*a))
+    whole = days()
+    assert not seen and max(x[1] for x in whole) > 3
+    monkeypatch.setattr(hiking, "BROADCAST_HUTS", 0)
+    assert days() == whole and seen
